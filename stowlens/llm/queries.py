@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowlens.llm import audio
+from stowlens.llm import audio, html_text, quality_rules
 from stowlens.llm.common import table
 
 
@@ -14,8 +14,20 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.audio_features(table(spark, sf_dir, "documents")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit_table(pages))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *quality_rules.FEATURES, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
+    "op4_html_extraction": op4_html_extraction,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}

@@ -168,8 +168,9 @@ def fit(pages: list[str], epochs: int = EPOCHS) -> dict[str, float]:
 def fit_table(pages: DataFrame, sample: int = LABELLED_PAGES) -> dict[str, float]:
     """fit() on at most `sample` pages that label their own article, taken by a hash of the id."""
     named = pages.select("page_id", "html").where(F.col("html").contains("<article") | F.col("html").contains("<main"))
-    rows = named.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).select("html").collect()
-    return fit([r.html for r in rows])
+    ids = [r.page_id for r in named.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    rows = named.where(F.col("page_id").isin(ids)).select("page_id", "html").dropDuplicates(["page_id"]).collect()
+    return fit([r.html for r in sorted(rows, key=lambda r: r.page_id)])
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:

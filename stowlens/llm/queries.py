@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowlens.llm import audio, html_text, quality_rules
+from stowlens.llm import audio, html_text, quality_rules, tokens, wavelet
 from stowlens.llm.common import table
 
 
@@ -24,10 +24,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.FEATURES, "base_failed", "kept")
 
 
+def op9_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokens.vocabulary_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
     "op4_html_extraction": op4_html_extraction,
     "op7_quality_rules": op7_quality_rules,
+    "op9_wavelet_output": op9_wavelet_output,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +51,27 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@functools.cache
+def _package() -> str:
+    """A zip of this package in a folder of the driver, from where Spark sends it."""
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="stowlens-")) / "stowlens.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    return str(path)
+
+
+@functools.cache
+def _ship(application: str) -> None:
+    SparkSession.active().sparkContext.addPyFile(_package())
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, once for each application."""
+    _ship(spark.sparkContext.applicationId)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """fn over slices of at most BATCH_ROWS rows of every Arrow batch."""
 
@@ -56,6 +81,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                 out = fn(batch.slice(at, BATCH_ROWS))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowlens.llm import tokens
-from stowlens.llm.common import BATCH_ROWS, whole_text, written
+from stowlens.llm.common import BATCH_ROWS, ship, whole_text, written
 
 MAGIC, VERSION, BITS = b"WVMX", 1, 16
 END_ID = 0
@@ -199,6 +199,7 @@ def shards(docs: DataFrame, vocabulary: str, shard_tokens: int = SHARD_TOKENS) -
         if ids:
             yield closed()
 
+    ship(docs.sparkSession)
     ordered = docs.select("doc_id", whole_text().alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     return ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(
         run, "part int, shard int, inside bigint, n_docs bigint, n_tokens bigint, file binary"

@@ -5,15 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stowlens.llm import audio, html_text, near_dup, packing, quality_rules, tokens, wavelet
+from stowlens.llm import audio, html_text, mixing, near_dup, packing, pii, quality_model, quality_rules, tokens, toxicity, wavelet
 from stowlens.llm.common import table
 
+#: The key that surrogates are drawn with; a deployment gives its own.
+PII_KEY = b"stowlens surrogates"
+#: Shares of tokens that the mix is fitted to, and its size against the input.
+MIX_WEIGHTS, MIX_GROWTH = {"clean": 0.94, "low": 0.04, "toxic": 0.02}, 1.02
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of labelled rows: toxic before low quality before clean; rows without any label are left out."""
+    domain = F.when(F.col("toxic") > 0, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") > 0, "clean")
+    return labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null")
+
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.audio_features(table(spark, sf_dir, "documents")))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.classify(docs, quality_model.fit(docs)).select("doc_id", "weak_label", "quality_score", F.col("quality_kept").alias("kept"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.fit_table(pages))
@@ -23,11 +44,24 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = toxicity.classify(docs, toxicity.fit(docs, labels.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "clause_weight")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *quality_rules.FEATURES, "base_failed", "kept")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mixed, model = mixing.mix(docs.select("doc_id", "text"), domains(labels), MIX_WEIGHTS, MIX_GROWTH)
+    return mixed.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model["domains"])], "rate")
+
+
 def op9_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokens.vocabulary_file())
 
@@ -38,9 +72,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_html_extraction": op4_html_extraction,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_source_mixing": op8_source_mixing,
     "op9_wavelet_output": op9_wavelet_output,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

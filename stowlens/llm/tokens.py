@@ -1,11 +1,10 @@
 """Whole texts to token ids by a public byte-level BPE, with a memo of the words met before.
 
-Byte-level BPE first cuts a text into words, and no merge crosses a cut. A single space before a
-character that isn't white space is always such a cut, so a text is encoded piece by piece and
-each distinct piece meets the tokenizer once for as long as the memo holds it. Texts in which a
-space meets other white space are cut at the safe spaces only. Pieces whose inner cuts are certain
-(lines, a final full stop or comma) are encoded by their parts. The ids equal those of one call
-over the whole text, which the tests hold against the tokenizer itself.
+Byte-level BPE first cuts a text into words, and no merge crosses a cut. The last blank of a run of
+white space, before a character that is none, always begins a word. So a text is cut before such
+spaces and line ends, each distinct piece meets the tokenizer once for as long as the memo holds it,
+and a final full stop or comma after a letter or digit, a word of its own, is split off first. The
+ids equal those of one call over the whole text, which the tests hold against the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -16,9 +15,10 @@ import re
 
 import numpy as np
 
-#: Pieces in either generation of a memo; at most twice as many are held.
-MEMO_PIECES = 200_000
-UNSAFE = re.compile(r" (?:\s|$)")
+#: Pieces in either generation of the memo; at most twice as many are held.
+MEMO_PIECES = 450_000
+#: Texts that have these are cut with more care.
+UNSAFE = re.compile(r"[ \n](?:\s|\Z)")
 SAFE = re.compile(r" (?=\S)")
 BLANK = re.compile(r"\s")
 #: Words given to the tokenizer as one string.
@@ -38,14 +38,13 @@ class Memo:
         self.size, self.young, self.old = size, {}, {}
 
     def missing(self, keys: set[str]) -> list[str]:
-        out, young, old = [], self.young, self.old
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
-        return out
+        """Keys that neither generation has; those that the old one has become young again."""
+        young, old = self.young, self.old
+        new = keys.difference(young)
+        again = [k for k in new if k in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        new.difference_update(again)
+        return list(new)
 
     def trim(self) -> None:
         if len(self.young) > self.size:
@@ -61,62 +60,62 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        model = self.tokenizer.model
+        model._resize_cache(0)  # only new words come here; the memo is the cache
+        self.tokenizer.model = model
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.opens = np.zeros(1 << 16, bool)  # ids of tokens that begin with a space or a line end
         self.opens[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
         self.tails = {c: np.array([vocabulary[c]], "<u2").tobytes() for c in ".,"}
-        self.pieces, self.words = Memo(memo), Memo(memo)
+        self.memo = Memo(memo)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Words into the memo; those of one leading blank and none inside are encoded together."""
-        young = self.words.young
-        plain = [w for w in words if w[0] in " \n" and len(w) > 1 and not BLANK.search(w, 1)]
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces into the memo; those of letters and digits are encoded together and cut at their blanks."""
+        young = self.memo.young
+        texts = [k if k[0] == "\n" else " " + k for k in pieces]
+        plain = [(k, t) for k, t in zip(pieces, texts, strict=True) if t[1:].isalnum()]
         for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
-            ids = np.frombuffer(self._ids(["".join(part)])[0], "<u2")
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(part):
-                young.update(zip(part, self._ids(part), strict=True))
+            keys, words = zip(*plain[at : at + JOINED], strict=True)
+            ids = self._ids(["".join(words)])[0]
+            cuts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u2")]) * 2
+            if len(cuts) != len(keys):
+                young.update(zip(keys, self._ids(list(words)), strict=True))
                 continue
-            ends = [*cuts[1:].tolist(), len(ids)]
-            for word, a, b in zip(part, cuts.tolist(), ends, strict=True):
-                young[word] = ids[a:b].tobytes()
-        rest = [w for w in words if w not in young]
-        young.update(zip(rest, self._ids(rest), strict=True))
-
-    def _parts(self, text: str) -> list[tuple[str, str]]:
-        """(word, final mark) of a piece, leading blank included."""
-        head, *lines = text.split("\n")
-        if not all(lines) or BLANK.search(head, 1) or any(BLANK.search(x) for x in lines):
-            return [(text, "")]
-        found = [head] if head else []
-        found += ["\n" + x for x in lines]
-        return [(w[:-1], w[-1]) if len(w) > 2 and w[-1] in ".," and w[-2].isalnum() else (w, "") for w in found]
+            cuts = [*cuts.tolist(), len(ids)]
+            young.update(zip(keys, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        rest = [(k, t) for k, t in zip(pieces, texts, strict=True) if k not in young]
+        young.update(zip([k for k, _ in rest], self._ids([t for _, t in rest]), strict=True))
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces; one that begins with a line end is whole, any other lacks the space before it, as does the first if there was none."""
+        return SAFE.split(text) if UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [SAFE.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
-        firsts = [" " + c[0] for c in cut]  # no later piece begins with a space
-        need = set(firsts)
+        cut = [self._cut(t) for t in texts]
+        # a first piece is met as if after a line end, whose id is taken off again; unless it begins with a blank
+        odd = {c[0] for c in cut if BLANK.match(c[0])}
+        need = {"\n" + c[0] for c in cut if c[0] and c[0] not in odd}
         for c in cut:
             need.update(c[1:])
-        new = self.pieces.missing(need)
-        if new:
-            starts = set(firsts)
-            parts = {k: self._parts(k[1:] if k in starts else " " + k) for k in new}
-            if lead := self.words.missing({w for p in parts.values() for w, _ in p if w}):
-                self._learn(lead)
-            words, young, tails = self.words.young, self.pieces.young, self.tails
-            for k, p in parts.items():
-                young[k] = b"".join([words[w] + tails[m] if m else words[w] for w, m in p if w])
-        young = self.pieces.young
-        out = [young[f] + b"".join(map(young.__getitem__, c[1:])) for f, c in zip(firsts, cut, strict=True)]
-        self.pieces.trim()
-        self.words.trim()
+        memo, tails = self.memo, self.tails
+        if new := memo.missing(need):
+            marked = [k for k in new if k[-1] in tails and k[-2:-1].isalnum() and not BLANK.search(k, 1)]
+            cores = {k[:-1] for k in marked}
+            learn = memo.missing(cores)
+            learn += [k for k in set(new).difference(marked) if k not in cores]
+            self._learn(learn)
+            young = memo.young
+            young.update({k: young[k[:-1]] + tails[k[-1]] for k in marked})
+        young = memo.young
+        first = {"": b"", **dict(zip(odd, self._ids(list(odd)), strict=True))}
+        heads = [first[c[0]] if c[0] in first else young["\n" + c[0]][2:] for c in cut]
+        out = [h + b"".join(map(young.__getitem__, c[1:])) for h, c in zip(heads, cut, strict=True)]
+        memo.trim()
         return out
 
 

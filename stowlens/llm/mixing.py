@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from stowlens.llm.common import written
 
-STEPS, TOLERANCE = 40, 1e-6
+STEPS, TOLERANCE = 60, 1e-4
 #: Labelled rows that the word list is drawn from, at most; words in it.
-LEXICON_ROWS, LEXICON = 4000, 120
+LEXICON_ROWS, LEXICON = 6000, 80
 
 _TEXT = "coalesce(text, '')"
 #: Binned features over (text, w), w being the text's lower-case words; bins count from 0 (fixed rule: the bounds below).
@@ -47,7 +47,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 def words_of(text: str = _TEXT) -> str:
     """Lower-case words with the marks at their ends taken off."""
-    return rf"split(btrim(lower({text}), ' \t\n\u000B\u000C\r.,!?'), '[\\x20\\x09-\\x0D.,!?]+')"
+    return rf"split(btrim(lower({text}), ' \t\n\u000B\u000C\r.,!?#*$%&|<>'), '[\\x20\\x09-\\x0D.,!?#*$%&|<>]+')"
 
 
 def _bin(value: str, bounds: list[float]) -> str:

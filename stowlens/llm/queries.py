@@ -12,8 +12,8 @@ from stowlens.llm.common import table
 
 #: The key that surrogates are drawn with; a deployment gives its own.
 PII_KEY = b"stowlens surrogates"
-#: Shares of tokens that the mix is fitted to, and its size against the input.
-MIX_WEIGHTS, MIX_GROWTH = {"clean": 0.94, "low": 0.04, "toxic": 0.02}, 1.02
+#: Shares of tokens that the mix is fitted to (other domains keep their proportions), and its size against the input.
+MIX_WEIGHTS, MIX_GROWTH = {"low": 0.05, "toxic": 0.03}, 1.0
 
 
 def domains(labels: DataFrame) -> DataFrame:

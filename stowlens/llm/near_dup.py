@@ -7,10 +7,10 @@ components, named by their smallest document id.
 
 No bucket is expanded into all its pairs. Equal sets are one class and only the class takes part.
 In rounds, each bucket compares its members with one pivot, the member that shares most buckets;
-links found join components, and members already in the pivot's component need no comparison. When
-a round finds nothing new, the pairs of a bucket that are still in different components are
-compared, those ruled out by set sizes or by a sketch of the signature excepted. So every pair that
-a band proposes is either confirmed, refuted, or already connected.
+links found join components, and members already in the pivot's component need no comparison. After
+the rounds, the pairs of a bucket that are still in different components are compared, save those
+ruled out by set sizes, by a sketch of the signature, or by the sets' parities, which bound the shingles
+that only one of them has. So every pair that a band proposes is confirmed, refuted, or already connected.
 
 With the default bands a pair at the very threshold (0.85) is missed with a chance of 2e-8 by the
 bands, (1 - 0.85 ** 4) ** 24, and 5e-9 by the sketch; pairs above it with less.
@@ -35,7 +35,9 @@ BANDS, ROWS = 24, 4
 PERMUTATIONS = BANDS * ROWS // 2
 #: Differing two-bit codes of the BANDS * ROWS in a sketch, at most, for a pair that is compared.
 SKETCH_DIFFERENCES = 34
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 3
+#: Bits of a set's parity: how often, modulo 2, its shingles fall on each.
+PARITY_BITS = 1024
 MEMO_WORDS = 300_000
 #: Bits of the filter that says whose sets are worth computing; at most, and for each document.
 FILTER_BITS, FILTER_BITS_EACH = 1 << 25, 16
@@ -150,26 +152,41 @@ def id_filter(ids: DataFrame, documents: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, size: int, keep: np.ndarray) -> DataFrame:
-    """id and shingle set of the documents whose id the filter has."""
+    """id, shingle set and parity of the documents whose id the filter has."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.column(2).to_numpy()
         there = (keep[at >> 6] >> (at & 63)) & 1
         rows = np.flatnonzero(there)
         sets = [shingle_set(t, size).view(np.int64) for t in batch.column(1).take(pa.array(rows)).to_pylist()]
-        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
+        parity = [np.packbits(np.bincount(x & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).view(np.int64) for x in sets]
+
+        def lists(arrays: list[np.ndarray]) -> pa.Array:
+            ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+        ids = batch.column(0).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([ids, lists(sets), lists(parity)], ["id", "shingles", "parity"])
 
     at = F.pmod(F.xxhash64("doc_id"), F.lit(len(keep) * 64)).alias("at")
-    return map_batches(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", at), run, "id bigint, shingles array<bigint>")
+    return map_batches(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", at), run, "id bigint, shingles array<bigint>, parity array<bigint>")
+
+
+#: A member's columns in a bucket: set size, sketch and parity, word by word, so that a join's condition reads plain numbers.
+_SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 32)]
+_PARITY = [f"p{i}" for i in range(PARITY_BITS // 64)]
+_MEMBER = ["id", "n", *_SKETCH, *_PARITY]
 
 
 def _similar(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches leave a pair possible."""
-    words = BANDS * ROWS // 32
-    differ = " + ".join(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 6148914691236517205L)" for x in (f"({a}.sk[{i}] ^ {b}.sk[{i}])" for i in range(words)))
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {differ} <= {SKETCH_DIFFERENCES}")
+    """Whether sizes, sketches and parities leave a pair possible.
+
+    A shingle in one set only flips one bit of parity, so the bits that differ are no more than such
+    shingles, and linked sets have at most (100 - percent) / (100 + percent) of both sizes of them.
+    """
+    only = " + ".join(f"bit_count({a}.{k} ^ {b}.{k})" for k in _PARITY)
+    differ = " + ".join(f"bit_count((({a}.{k} ^ {b}.{k}) | shiftrightunsigned({a}.{k} ^ {b}.{k}, 1)) & 6148914691236517205L)" for k in _SKETCH)
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {differ} <= {SKETCH_DIFFERENCES} and ({only}) * {100 + percent} <= ({a}.n + {b}.n) * {100 - percent}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,41 +223,38 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
+def _pairs(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+    """Distinct (a, b), a < b, of the members that x and y have in the same bucket."""
+    found = x.alias("x").join(y.alias("y"), F.expr("x.key = y.key") & condition)
+    return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(id, component) of the classes that have links; None if no two share a bucket."""
-    member = F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("sk")).alias("m")
-    rows = classes.select(member, F.explode("bands").alias("key"))
+    """(id, component) of the classes that have links; None if there are no links."""
+    rows = classes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = written(rows.join(shared, "key").select("key", "size", F.col("m.id").alias("id"), "m"))
+    rows = written(rows.join(shared, "key").select("key", "size", "id"))
     weight = written(rows.groupBy("id").agg(F.sum("size").alias("weight")))
     n = weight.count()
     if not n:
         return None
     sets = written(sets_of(docs, size, id_filter(weight, n)).join(weight.select("id"), "id", "left_semi").dropDuplicates(["id"]))
-    rows = written(rows.join(weight, "id").select("key", "id", "m", "weight"))
-    edges, labels, tried = None, None, None
+    parity = sets.select("id", *[F.col("parity")[i].alias(k) for i, k in enumerate(_PARITY)])
+    member = classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(k) for i, k in enumerate(_SKETCH)])
+    rows = written(rows.join(weight.join(parity, "id").join(member, "id"), "id").select("key", "weight", *_MEMBER))
+    edges, labels = None, None
     for k in range(PIVOT_ROUNDS + 1):
         now = _labelled(rows, labels)
-        # turns: by shared buckets first, then by chance
-        rank = F.struct(F.col("weight") if k < 2 else F.lit(0), F.xxhash64("id", F.lit(k)), F.col("id"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by(F.struct("m", "c"), rank).alias("p")).where("lo < hi")
+        # the first pivot shares most buckets, later ones are drawn
+        rank = F.struct(F.lit(0) if k else F.col("weight"), F.xxhash64("id", F.lit(k)), F.col("id"))
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by(F.struct("c", *_MEMBER), rank).alias("p")).where("lo < hi")
         last = k == PIVOT_ROUNDS
-        if not last:
-            found = now.alias("x").join(mixed.select("key", "p.m", F.col("p.c").alias("pc")).alias("y"), F.expr("x.key = y.key and x.c <> y.pc") & _similar("x.m", "y.m", percent))
-            pairs = found.select(F.least("x.m.id", "y.m.id").alias("a"), F.greatest("x.m.id", "y.m.id").alias("b")).distinct()
+        if last:
+            left = written(now.join(mixed.select("key"), "key", "left_semi").select("key", "c", *_MEMBER))
+            pairs = _pairs(left, left, F.expr("x.c < y.c") & _similar("x", "y", percent))
         else:
-            left = written(now.join(mixed.select("key"), "key", "left_semi").select("key", "m", "c"))
-            found = left.alias("x").join(left.alias("y"), F.expr("x.key = y.key and x.c < y.c") & _similar("x.m", "y.m", percent))
-            pairs = found.select(F.least("x.m.id", "y.m.id").alias("a"), F.greatest("x.m.id", "y.m.id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            if last or labels is None and k == 0:
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(confirmed(pairs, sets, percent))
+            pairs = _pairs(now, mixed.select("key", "p.*"), F.expr("x.c <> y.c") & _similar("x", "y", percent))
+        new = written(confirmed(written(pairs), sets, percent))
         if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             labels = components(edges)

@@ -84,63 +84,67 @@ def fitness(fills: list[int], capacity: int) -> tuple[float, float]:
     return -len(fills), sum((f / capacity) ** 2 for f in fills) / max(1, len(fills))
 
 
-def filled(bins: Bins, sizes: list[int]) -> list[int]:
-    return [sum(sizes[i] for i in b) for b in bins]
+#: An individual: its fitness, its bins and how full each is.
+Packed = tuple[tuple[float, float], Bins, list[int]]
 
 
-def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """A child of b's bins with well-filled bins of a put in whole."""
-    full = [g for g in a if sum(sizes[i] for i in g) >= capacity - 1]
-    give = rng.sample(full, max(1, len(full) // 2)) if full else a[:1]
-    given = {i for g in give for i in g}
-    kept: Bins = []
-    loose: list[int] = []
-    for g in b:
-        if any(i in given for i in g):
-            loose.extend(i for i in g if i not in given)
-        else:
-            kept.append(list(g))
-    kept.extend(list(g) for g in give)
-    return repacked(kept, loose, sizes, capacity)
+def packed(bins: Bins, fills: list[int], loose: list[int], sizes: list[int], capacity: int) -> Packed:
+    """Bins with the loose pieces best-fitted, longest first."""
+    loose.sort(key=lambda i: (-sizes[i], i))
+    best_fit(bins, fills, loose, sizes, capacity)
+    return fitness(fills, capacity), bins, fills
 
 
-def repacked(kept: Bins, loose: list[int], sizes: list[int], capacity: int) -> Bins:
-    fills = filled(kept, sizes)
-    loose.sort(key=lambda i: (-sizes[i], i))
-    best_fit(kept, fills, loose, sizes, capacity)
-    return kept
+def crossover(a: Packed, b: Packed, sizes: list[int], capacity: int, rng: random.Random) -> Packed:
+    """A child of b's bins with well-filled bins of a put in whole."""
+    full = [k for k, f in enumerate(a[2]) if f >= capacity - 1]
+    give = rng.sample(full, max(1, len(full) // 2)) if full else [0]
+    given = {i for k in give for i in a[1][k]}
+    kept, fills, loose = [], [], []
+    for group, fill in zip(b[1], b[2], strict=True):
+        if given.isdisjoint(group):
+            kept.append(list(group))
+            fills.append(fill)
+        else:
+            loose.extend(i for i in group if i not in given)
+    for k in give:
+        kept.append(list(a[1][k]))
+        fills.append(a[2][k])
+    return packed(kept, fills, loose, sizes, capacity)
 
 
-def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
+def mutate(a: Packed, sizes: list[int], capacity: int, rng: random.Random) -> Packed:
     """The worst-filled bins and a few others emptied, and their pieces best-fitted again."""
-    fills = filled(bins, sizes)
+    _, bins, fills = a
     order = sorted(range(len(bins)), key=fills.__getitem__)
-    out = set(order[: max(1, len(bins) // 50)]) | set(rng.sample(order, max(1, len(bins) // 50)))
+    few = max(1, len(bins) // 50)
+    out = {*order[:few], *rng.sample(order, few)}
     loose = [i for k in out for i in bins[k]]
-    return repacked([list(g) for k, g in enumerate(bins) if k not in out], loose, sizes, capacity)
+    kept = [k for k in range(len(bins)) if k not in out]
+    return packed([list(bins[k]) for k in kept], [fills[k] for k in kept], loose, sizes, capacity)
 
 
-def evolve(sizes: list[int], start: list[Bins], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
+def evolve(sizes: list[int], start: list[Bins], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION) -> Packed:
     """The best individual after some generations; start gives the elites that have arrived, if any."""
     rng = random.Random(seed)
     items = list(range(len(sizes)))
     least = -(-sum(sizes) // capacity)
-    people = [[list(g) for g in s] for s in start]
+    people = [packed([list(g) for g in s], [sum(sizes[i] for i in g) for g in s], [], sizes, capacity) for s in start]
     if not people:
-        people.append(repacked([], items[:], sizes, capacity))
-    while len(people) < population and len(people[0]) > least:
+        people.append(packed([], [], items[:], sizes, capacity))
+    while len(people) < population and len(people[0][1]) > least:
         noise = [s + rng.randrange(1 + capacity // 16) for s in sizes]
         bins: Bins = []
-        best_fit(bins, [], sorted(items, key=lambda i: (-noise[i], i)), sizes, capacity)
-        people.append(bins)
-    rank = lambda p: fitness(filled(p, sizes), capacity)
+        fills: list[int] = []
+        best_fit(bins, fills, sorted(items, key=lambda i: (-noise[i], i)), sizes, capacity)
+        people.append((fitness(fills, capacity), bins, fills))
+    rank = lambda p: p[0]
     people.sort(key=rank, reverse=True)
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if len(people[0][1]) <= least:
             break
         a, b = people[0], people[rng.randrange(1, len(people))] if len(people) > 1 else people[0]
-        for child in (crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng), mutate(a, sizes, capacity, rng)):
-            people.append(child)
+        people += [crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng), mutate(a, sizes, capacity, rng)]
         people.sort(key=rank, reverse=True)
         del people[population:]
     return people[0]
@@ -159,7 +163,7 @@ def _island(frame: pd.DataFrame, epoch: int, capacity: int) -> pd.DataFrame:
     sizes = frame["length"].tolist()
     start = [_to_bins(frame[c].to_numpy()) for c in ("own_bin", "come_bin") if len(frame) and frame[c].iloc[0] >= 0]
     chunk, island = int(frame["chunk"].iloc[0]), int(frame["island"].iloc[0])
-    bins = evolve(sizes, start, (chunk * ISLANDS + island) * EPOCHS + epoch, capacity)
+    (_, fit), bins, _ = evolve(sizes, start, (chunk * ISLANDS + island) * EPOCHS + epoch, capacity)
     at = np.zeros(len(frame), np.int64)
     offset = np.zeros(len(frame), np.int64)
     for k, group in enumerate(bins):
@@ -169,7 +173,7 @@ def _island(frame: pd.DataFrame, epoch: int, capacity: int) -> pd.DataFrame:
             place += sizes[i]
     frame["own_bin"], frame["offset"] = at, offset
     frame["n_bins"] = len(bins)
-    frame["fit"] = fitness(filled(bins, sizes), capacity)[1]
+    frame["fit"] = fit
     return frame
 
 

@@ -83,4 +83,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+#: The features of every text counted from its words and lines, and the verdict of all rules (which no order changes).
+_OP7_SQL = r"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+words as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs),
+each_word as (select r, unnest(w) as word, unnest(range(len(w))) as i from words),
+windows as (select r, i, word as a, lead(word, 1) over t as b, lead(word, 2) over t as c from each_word window t as (partition by r order by i)),
+repeated as (select r, i from windows where c is not null qualify count(*) over (partition by r, a, b, c) > 1),
+covered as (select r, count(distinct i + k) as n from repeated cross join (values (0), (1), (2)) v(k) group by r),
+each_line as (select r, unnest(string_split(text, chr(10))) as line from docs),
+lines as (select r, count(*) - count(distinct line) as dups from each_line where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+features as (
+  select doc_id, text, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(coalesce(dups, 0) as bigint) as n_dup_lines,
+    cast(coalesce(n, 0) as bigint) as n_repeat_words
+  from words left join lines using (r) left join covered using (r)),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from features)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 12 * n_words
+    or 10 * n_dup_lines > 3 * len(string_split(text, chr(10))) or 2 * len(regexp_extract_all(text, '[A-Z]')) > word_chars
+    or 10 * len(regexp_extract_all(text, '!!')) > n_words or n_words >= 100 and len(regexp_extract_all(text, '[.!?]')) = 0) as kept
+from judged
+"""
+
+ORACLES: dict[str, str] = {"op7_quality_rules": _OP7_SQL}

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from stowlens.llm.common import written
 
 STEPS, TOLERANCE = 100, 1e-4
+#: Targets out of reach: steps end when PATIENCE of them lessen the least gap so far by less than a tenth; those up to the least gap count.
+PATIENCE = 10
 #: Labelled rows that the word list is drawn from, at most; words in it.
 LEXICON_ROWS, LEXICON = 6000, 80
 
@@ -162,8 +164,11 @@ def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float],
     history: list[list[float]] = []
     totals = ahead = have
     t, momentum = 1.0, 0.0
-    for _ in range(steps):
-        if max(abs(x - y) for x, y in zip(targets, totals, strict=True)) <= tolerance * first.n:
+    trail: list[tuple[float, int, list[float]]] = []  # largest gap, steps, totals
+    for k in range(steps + 1):
+        trail.append((max(abs(x - y) for x, y in zip(targets, totals, strict=True)), k, totals))
+        before = min(g for g, *_ in trail[:-PATIENCE] or trail)
+        if trail[-1][0] <= tolerance * first.n or k > PATIENCE and min(trail)[0] > 0.9 * before or k == steps:
             break
         history.append([momentum, *_solve(m, [x - y for x, y in zip(targets, ahead, strict=True)])])
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -173,7 +178,8 @@ def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float],
         sums = [F.sum(F.col("n") * v * F.col("p")[i]).alias(f"{k}{i}") for k, v in spots.items() for i in range(len(domains))]
         row = cells.withColumn("s", _moved(history, 1.0)).agg(*sums).first()
         totals, ahead = ([row[f"{k}{i}"] for i in range(len(domains))] for k in spots)
-    return {"history": history, "targets": targets, "totals": totals}
+    _, best, totals = min(trail)
+    return {"history": history[:best], "targets": targets, "totals": totals}
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0) -> tuple[DataFrame, dict]:

@@ -199,7 +199,12 @@ def apply_rates(features: DataFrame, model: dict) -> DataFrame:
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """Each row floor(rate) times, and once more with the chance of the rest, by a hash of its id."""
+    """Each row floor(rate) times, and once more with the chance of the rest, by a hash of its id.
+
+    Rates are written first: the optimizer would push the test on the copies down to the texts with
+    the whole of the rate's expression in it, and compute a text's features for every step and domain.
+    """
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(1 << 20)
     n = F.floor(F.col("rate") + chance).cast("int")
-    return mixed.withColumn("mix_copy", n).where("mix_copy > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copy"))))
+    rows = written(mixed).withColumn("mix_copy", n).where("mix_copy > 0")
+    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copy"))))

@@ -327,6 +327,39 @@ def u8(s, d):
     return one.join(two, "key", "left_anti").select("key", F.lit("REMOVED").alias("change")).unionByName(two.join(one, "key", "left_anti").select("key", F.lit("ADDED").alias("change")))
 
 
+def _whole_configs(s, d):
+    """Both sides over all of part, a key for each row: its size and brand say which sides have it, and some keys have a second line on side one."""
+    p = s.read.parquet(f"{d}/part.parquet")
+    key = F.concat(F.lit("k"), c("p_partkey").cast("string")).alias("key")
+    one = p.where("p_size % 10 <> 0").select(key, F.concat("p_type", F.lit(" "), "p_size").alias("value"), c("p_partkey").alias("line"))
+    again = p.where("p_size % 10 <> 0 and p_size % 4 = 1").select(key, F.lit("again").alias("value"), (-c("p_partkey") - 1).alias("line"))
+    two = p.where("p_brand <> 'Brand#1'").select(key, F.concat("p_type", F.lit("  "), F.greatest("p_size", F.lit(20))).alias("value"), c("p_partkey").alias("line"))
+    return one.unionByName(again), two
+
+
+_WHOLE_CONF = """with one as (select 'k' || p_partkey as key, p_type || ' ' || p_size as value, p_partkey as line from part where p_size % 10 <> 0
+  union all select 'k' || p_partkey, 'again', -p_partkey - 1 from part where p_size % 10 <> 0 and p_size % 4 = 1),
+a as (select key, arg_min(value, line) as old_value from one group by 1),
+b as (select 'k' || p_partkey as key, p_type || '  ' || greatest(p_size, 20) as new_value from part where p_brand <> 'Brand#1'),
+j as (select coalesce(a.key, b.key) as key, old_value, new_value, case when a.key is null then 'ADDED' when b.key is null then 'REMOVED' when regexp_replace(old_value, '\\s', '', 'g') <> regexp_replace(new_value, '\\s', '', 'g') then 'MODIFIED' else 'UNCHANGED' end as change from a full join b on a.key = b.key) """
+
+
+@query("J3_config_diff_whole", _WHOLE_CONF + "select * from j where change <> 'UNCHANGED'")
+def j3w(s, d):
+    return R.config_diff(*_whole_configs(s, d), ignore_space=True).where("change <> 'UNCHANGED'")
+
+
+@query("A22_diff_counts_whole", _WHOLE_CONF + "select change, count(*) as n from j group by 1")
+def a22w(s, d):
+    return R.config_diff(*_whole_configs(s, d), ignore_space=True).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("U8_one_sided_keys_whole", _WHOLE_CONF + "select key, change from j where change in ('ADDED', 'REMOVED')")
+def u8w(s, d):
+    one, two = (x.select("key").distinct() for x in _whole_configs(s, d))
+    return one.join(two, "key", "left_anti").select("key", F.lit("REMOVED").alias("change")).unionByName(two.join(one, "key", "left_anti").select("key", F.lit("ADDED").alias("change")))
+
+
 _REP = "with r as (select l_partkey as file_id, l_suppkey as server_id, l_linenumber < 7 as present, l_partkey * 10 + case when l_linenumber = 6 then 1 else 0 end as size, l_partkey + case when l_linenumber = 5 and l_suppkey % 4 = 0 then 1 else 0 end as crc, l_orderkey % 50 as create_ts from lineitem qualify row_number() over (partition by l_partkey, l_suppkey order by l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) = 1), f as (select file_id, arg_min(size, case when present then server_id end) as z, arg_min(crc, case when present then server_id end) as k, arg_min(create_ts, case when present then server_id end) as t from r group by 1) "
 
 

@@ -6,6 +6,11 @@ collected, and a side is broadcast only by Spark's own size check.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,11 +260,30 @@ def merged_map(old: Column, new: Column) -> Column:
 def suppressed(alerts: DataFrame, cooldown: int) -> DataFrame:
     """Alerts (message, ts) that are sent: the first, and each that comes a cooldown or more after the last one sent.
 
-    Which alert is sent depends on the one sent before, so each message's alerts are folded in time
-    order; the fold keeps only the sent ones.
+    Which alert is sent depends on the one sent before, so each message's alerts are read in time
+    order, sorted within their partition; only the message and its last sent time are carried along.
+    Repeated times count once, null times not at all.
     """
-    def step(sent: Column, t: Column) -> Column:
-        return F.when((F.size(sent) == 0) | (t - F.element_at(sent, -1) >= cooldown), F.concat(sent, F.array(t))).otherwise(sent)
-
-    times = alerts.groupBy("message").agg(F.array_sort(F.collect_set("ts")).alias("times"))
-    return times.select("message", F.explode(F.aggregate("times", F.array().cast("array<bigint>"), step)).alias("ts"))
+    ordered = alerts.where("ts is not null").select("message", F.col("ts").cast("bigint").alias("ts")).repartition("message").sortWithinPartitions("message", "ts")
+    gap = max(cooldown, 1)  # equal times are one alert
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        message, due = None, None  # due: from when on the message is sent again; None before the first row
+        for batch in batches:
+            times = batch.column(1).to_numpy()
+            runs = batch.column(0).dictionary_encode("encode")
+            codes = runs.indices.to_numpy()
+            bounds = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)] if len(codes) else []
+            sent = []
+            for a, b in itertools.pairwise(bounds):
+                own = runs.dictionary[int(codes[a])].as_py()
+                if due is None or own != message:
+                    message, due = own, int(times[a])
+                at = a + int(np.searchsorted(times[a:b], due))
+                while at < b:
+                    sent.append(at)
+                    due = int(times[at]) + gap
+                    at += int(np.searchsorted(times[at:b], due))
+            yield batch.take(pa.array(sent, pa.int64()))
+
+    return ordered.mapInArrow(fold, ordered.schema)

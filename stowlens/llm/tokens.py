@@ -52,14 +52,18 @@ class Memo:
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 16-bit numbers."""
+    """encode(texts) gives each text's ids as little-endian unsigned 16-bit numbers.
 
-    def __init__(self, path: str, memo: int = MEMO_PIECES):
+    special_as_text: the strings of special tokens in a text are ordinary text; else each is its
+    token, as the library has it by default. They hold no blanks, so the cuts are valid either way.
+    """
+
+    def __init__(self, path: str, memo: int = MEMO_PIECES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         model = self.tokenizer.model
         model._resize_cache(0)  # only new words come here; the memo is the cache
         self.tokenizer.model = model
@@ -121,5 +125,5 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a vocabulary file."""
-    return Encoder(path)
+    """This process's encoder for a vocabulary file, with special tokens as the library has them by default."""
+    return Encoder(path, special_as_text=False)

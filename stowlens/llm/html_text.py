@@ -4,10 +4,11 @@ A page is a row of tokens. A word scores positive, a tag negative; the score of
 is fitted on labelled pages, which are pages whose own markup names the article. One linear scan
 finds the contiguous run with the highest sum. Elements that are never the article (menus, page
 headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) score
-nothing and give no text, inside the run or outside.
+nothing and give no text, inside the run or outside. An element that only its class, id or role
+marks, a form, and one whose end tag is missing are read all the same where they hold the article.
 
 Defined results: a null or empty page, and one without words, gives the empty string. Malformed
-markup is read as far as it goes (open elements end with the page). Of runs with equal scores the
+markup is read as far as it goes (open elements end with their parent). Of runs with equal scores the
 first and then the longest wins. Repeated rows are kept, further columns are ignored.
 """
 
@@ -17,6 +18,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,10 +54,24 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD_SPLIT = re.compile(r"[^a-z0-9]+")
+_P = frozenset({"p"}), frozenset({"button", "caption", "object", "table", "td", "th"})
+_LIST = frozenset({"ul", "ol", "menu", "dl", "table"})
+#: What a start tag ends, and the elements beyond which it ends nothing.
+CLOSES = {
+    **dict.fromkeys(BLOCKS - {"body", "caption", "html", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"} | {"dialog", "menu"}, (_P,)),
+    "li": (_P, (frozenset({"li"}), _LIST)),
+    **dict.fromkeys(("dd", "dt"), (_P, (frozenset({"dd", "dt"}), _LIST))),
+    **dict.fromkeys(("td", "th"), ((frozenset({"td", "th"}), frozenset({"table", "tr"})),)),
+    "tr": ((frozenset({"tr"}), frozenset({"table"})),),
+    **dict.fromkeys(("tbody", "tfoot", "thead"), ((frozenset({"tbody", "tfoot", "thead", "tr"}), frozenset({"table"})), (frozenset({"tbody", "tfoot", "thead"}), frozenset({"table"})))),
+    "body": ((frozenset({"head"}), frozenset()),),
+}
+#: Stands at both ends of a marked element that holds the article.
+MARKED = "<marked>"
 #: A word's score, and the scores of tags that labelled pages have inside or outside of the article only.
 WORD, INSIDE, OUTSIDE = 1.0, -0.05, -50.0
 #: Scores without labelled pages, and of kinds of tags that they lack.
-OPENING = {"<article>": OUTSIDE, "</article>": OUTSIDE, "<main>": OUTSIDE, "</main>": OUTSIDE}
+OPENING = {"<article>": OUTSIDE, "</article>": OUTSIDE, "<main>": OUTSIDE, "</main>": OUTSIDE, MARKED: OUTSIDE}
 TAG = -0.3
 
 
@@ -64,31 +80,113 @@ def marked(attrs: str) -> bool:
     return any(w in MARKS for m in ATTR.finditer(attrs) for w in WORD_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
 
 
+class Page:
+    """A page's tokens before anything is left out, and where each element ends.
+
+    out: (kind, text, position) as in tokens_of(). starts: index of an element's start tag -> (name,
+    attributes, whether an article was open there). ends: that index -> (one past the element's last
+    token, whether its own end tag ended it). As HTML has it, an element whose end tag is left out
+    ends before the next sibling that it can't hold, or with its parent.
+    """
+
+    def __init__(self, page: str):
+        self.out: list[tuple[str, str, int]] = []
+        self.starts: dict[int, tuple[str, str, bool]] = {}
+        self.ends: dict[int, tuple[int, bool]] = {}
+        self.stack: list[tuple[str, int]] = []
+        self.open: Counter = Counter()
+        at = 0
+        for m in TOKEN.finditer(page):
+            if m.start() > at:
+                self.out.append(("w", page[at : m.start()], at))
+            at = m.end()
+            name = (m["name"] or "").lower()
+            if m["raw"]:
+                self.out.append((f"<{m['raw'].lower()}>", "", m.start()))
+            elif name and m["end"]:
+                closes = self.open[name] > 0
+                while closes and self.stack[-1][0] != name:
+                    self._close(False)
+                self.out.append((f"</{name}>", "", m.start()))
+                if closes:
+                    self._close(True)
+            elif name:
+                self._siblings(name)
+                if name not in VOID:
+                    self.starts[len(self.out)] = name, m["attrs"] or "", self.open["article"] + self.open["main"] > 0
+                    self.stack.append((name, len(self.out)))
+                    self.open[name] += 1
+                self.out.append((f"<{name}>", "", m.start()))
+        if at < len(page):
+            self.out.append(("w", page[at:], at))
+        while self.stack:
+            self._close(False)
+
+    def _close(self, own: bool) -> None:
+        name, i = self.stack.pop()
+        self.open[name] -= 1
+        self.ends[i] = len(self.out), own
+
+    def _siblings(self, name: str) -> None:
+        """Closes what a start tag ends."""
+        for ended, within in CLOSES.get(name, ()):
+            if not any(self.open[e] for e in ended):
+                continue
+            for depth in range(len(self.stack) - 1, -1, -1):
+                above = self.stack[depth][0]
+                if above in ended:
+                    while len(self.stack) > depth:
+                        self._close(False)
+                    break
+                if above in within:
+                    break
+
+    def kept(self) -> Callable[[int], bool]:
+        """Whether the element that starts at an index holds the page's longest unmarked <article> or <main>, or without one most of the page's words."""
+        words, n, hidden = [0], 0, 0
+        for i, (kind, text, _) in enumerate(self.out):
+            if i in self.starts and self.starts[i][0] in SKIPPED - {"form"} and self.ends[i][1]:
+                hidden = max(hidden, self.ends[i][0])
+            n += len(text.split()) if kind == "w" and i >= hidden else 0
+            words.append(n)
+
+        def held(i: int) -> int:
+            return words[self.ends[i][0]] - words[i]
+
+        named = [i for i, (name, attrs, _) in self.starts.items() if name in ("article", "main") and held(i) and not marked(attrs)]
+        if named:
+            longest = max(named, key=lambda i: (held(i), -i))
+            return lambda i: i < longest < self.ends[i][0]
+        return lambda i: 2 * held(i) > n
+
+
 def tokens_of(page: str) -> list[tuple[str, str, int]]:
-    """(kind, text, position): kind is 'w' for text between tags, else the tag; skipped elements give one tag at most."""
-    out, depth, skip, at, articles = [], 0, "", 0, 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            out.append(("w", page[at : m.start()], at))
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            if m["raw"] and not skip:
-                out.append((f"<{m['raw'].lower()}>", "", m.start()))
-            continue
-        if skip:  # inside an element that is left out: only its own end counts
-            if name == skip:
-                depth += -1 if m["end"] else name not in VOID
-                skip = skip if depth else ""
+    """(kind, text, position): kind is 'w' for text between tags, else the tag; skipped elements give one tag at most.
+
+    A marked element, a form and an element that lacks its end tag are not skipped where they hold
+    the article; then MARKED stands at their ends, which scores low.
+    """
+    p = Page(page)
+    out, i, kept, edges = [], 0, None, set()
+    while i < len(p.out):
+        if i in edges:
+            out.append((MARKED, "", p.out[i][2]))
+        token = p.out[i]
+        out.append(token)
+        name, attrs, inside = p.starts.get(i, ("", "", False))
+        i += 1
+        if not name or name in ("html", "body", "article", "main"):
             continue
-        if name in ("article", "main"):
-            articles += -1 if m["end"] else 1
-        if not m["end"] and name not in VOID and name not in ("html", "body", "article", "main"):
-            if name in SKIPPED or name == "header" and articles <= 0 or m["attrs"] and marked(m["attrs"]):
-                skip, depth = name, 1
-        out.append((f"<{m['end']}{name}>", "", m.start()))
-    if at < len(page) and not skip:
-        out.append(("w", page[at:], at))
+        by_name = name in SKIPPED or name == "header" and not inside
+        if by_name or attrs and marked(attrs):
+            end, own = p.ends[i - 1]
+            if not (by_name and own and name != "form"):
+                kept = kept or p.kept()
+                if kept(i - 1):
+                    out.append((MARKED, "", token[2]))
+                    edges.add(end)
+                    continue
+            i = end
     return out
 
 

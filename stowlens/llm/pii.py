@@ -6,6 +6,10 @@ kind needs: a card its first digit and Luhn state, a phone its country code and
 e-mail address a reserved domain, a name its script and, as the title tells it, its gender. Case,
 separators and length of the mention stay.
 
+A name is found after a title. Its words are then looked up in the whole document, so that mentions
+without a title get the same surrogates; a name that never has a title in its document, a mention in
+small letters and initials stay.
+
 Collision checks keep distinct entities distinct: over the table of distinct entities, one whose
 surrogate equals another's, or equals an entity that occurs in the texts, draws again, until none
 is left. After DRAWS draws one or more marks are added, so the space can't run out.
@@ -17,6 +21,7 @@ new text; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import bisect
 import hmac
 import re
 from collections.abc import Iterator
@@ -29,11 +34,12 @@ from stowlens.llm.common import map_batches, ship, written
 
 DRAWS = 40
 
-#: Titles and the gender they tell (fixed values).
+#: Titles and the gender they tell, n if none (fixed values).
 TITLES = {
     "mr": "m", "mister": "m", "sir": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "господин": "m", "κύριος": "m",
     "mrs": "f", "ms": "f", "miss": "f", "madam": "f", "frau": "f", "madame": "f", "mme": "f", "mlle": "f", "señora": "f", "sra": "f", "srta": "f",
     "госпожа": "f", "κυρία": "f",
+    "dr": "n", "prof": "n", "doctor": "n", "professor": "n", "doktor": "n",
 }
 #: Syllables of names by script, and endings by gender; l is for last names (fixed values).
 SYLLABLES = {
@@ -41,9 +47,13 @@ SYLLABLES = {
     "cyrillic": ["ба", "вен", "го", "дар", "же", "за", "ки", "лом", "ми", "нор", "пе", "рас", "со", "тил", "фе", "ша"],
     "greek": ["αλ", "βε", "γιο", "δη", "ερ", "ζω", "θα", "κο", "λιν", "μαρ", "νε", "πολ", "ρα", "σω", "τε", "φι"],
 }
-ENDINGS = {"latin": {"m": "o", "f": "a", "l": "er"}, "cyrillic": {"m": "ий", "f": "а", "l": "ин"}, "greek": {"m": "ος", "f": "η", "l": "ης"}}
+ENDINGS = {"latin": {"m": "o", "f": "a", "n": "i", "l": "er"}, "cyrillic": {"m": "ий", "f": "а", "n": "и", "l": "ин"}, "greek": {"m": "ος", "f": "η", "n": "ι", "l": "ης"}}
 
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+#: A word of a name, which may have an apostrophe, and what may stand between two: initials and small words.
+_WORD = rf"(?!(?i:{_TITLE})\b)[^\W\d_a-zа-яα-ω](?:[^\W\d_]+(?:['’](?=[^\W\d_a-zа-яα-ω][^\W\d_])[^\W\d_]+)?|['’][^\W\d_a-zа-яα-ω][^\W\d_]+)"
+_INITIAL = r"[^\W\d_a-zа-яα-ω]\."
+_SMALL = r"(?:van|von|vom|der|den|ter|ten|zu|zur|de|del|della|di|da|dos|du|la|le|bin|ibn|y|af|av)"
 #: Kinds in order of precedence; group v is the entity where there is one.
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")),
@@ -55,8 +65,11 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)")),
     ("phone", re.compile(r"(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")),
-    ("name", re.compile(rf"(?i:\b(?P<t>{_TITLE}))\.?[ \u00a0](?P<v>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+)?)")),
+    ("name", re.compile(rf"\b(?P<t>(?:(?i:{_TITLE})\.?[ \u00a0])+)(?P<v>(?:(?:{_INITIAL} ?|{_SMALL} )*)(?P<w>{_WORD})(?:(?:-| (?:(?:{_INITIAL} ?|{_SMALL} )*)){_WORD})*)")),
 ]
+NAME_WORD = re.compile(_WORD)
+#: Words of letters, in which untitled mentions of the names found are looked up.
+LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 TITLED = re.compile(rf"(?i)\b(?:{_TITLE})\b")
 CONTEXT = re.compile(r"(?i)key|secret|token|pass|pwd")
 DIGIT = re.compile(r"\d")
@@ -76,6 +89,46 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def _titled(text: str) -> list[list[tuple[str, int, int, str]]]:
+    """The titled names of a text, each as its words with kinds: first ones with the titles' gender, then a last one."""
+    names = []
+    for m in PATTERNS[-1][1].finditer(text):
+        told = {TITLES[w.lower()] for w in LETTERS.findall(m["t"]) if w.lower() in TITLES} - {"n"}
+        gender = told.pop() if len(told) == 1 else "n"
+        words = [(a, b, text[a:b].lower().replace("’", "'")) for a, b in (w.span() for w in NAME_WORD.finditer(text, *m.span("v")))]
+        names.append([("first_" + gender, *w) for w in words[:-1]] + [("last", *words[-1])])
+    # what the other mentions tell: the gender of a first name after Dr or Prof, and that a single word is a first name
+    kinds: dict[str, str] = {}
+    lasts = {n[-1][3] for n in names if len(n) > 1}
+    for kind, *_, value in (w for n in names for w in n[:-1]):
+        if kinds.get(value, "first_n") == "first_n":
+            kinds[value] = kind
+    for n in names:
+        if len(n) == 1 and n[0][3] in kinds and n[0][3] not in lasts:
+            n[0] = (kinds[n[0][3]], *n[0][1:])
+        n[:] = [(kinds[value] if kind == "first_n" else kind, a, b, value) for kind, a, b, value in n]
+    return names
+
+
+def _untitled(text: str, names: list[list[tuple[str, int, int, str]]]) -> Iterator[tuple[str, int, int, str]]:
+    """Capitalised words of a text that are words of its titled names; a first name if they are both and another word of a name follows."""
+    first = {value: kind for n in names for kind, *_, value in n if kind != "last"}
+    last = {value for n in names for kind, *_, value in n if kind == "last"}
+    hits = []
+    for m in LETTERS.finditer(text):
+        word = m[0]
+        if not word[0].isupper():
+            continue
+        value = word.lower().replace("’", "'")
+        while value not in first and value not in last and (cut := value.rfind("'")) > 0:  # Smith's
+            value = value[:cut]
+        if value in first or value in last:
+            hits.append((m.start(), m.start() + len(value), value))
+    for k, (a, b, value) in enumerate(hits):
+        follows = k + 1 < len(hits) and hits[k + 1][0] - b == 1
+        yield (first[value] if value in first and (value not in last or follows) else "last"), a, b, value
+
+
 def entities(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, canonical form) of the entities of a text, in order, without overlaps."""
     digits, at = DIGIT.search(text) is not None, "@" in text
@@ -83,8 +136,9 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
     taken: list[tuple[int, int]] = []
 
     def add(kind: str, a: int, b: int, value: str) -> None:
-        if not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
+        k = bisect.bisect_left(taken, (b,))  # the spans before it begin before b; only the last of them can reach a
+        if not (k and taken[k - 1][1] > a):
+            taken.insert(k, (a, b))
             found.append((kind, a, b, value))
 
     for kind, pattern in PATTERNS:
@@ -92,19 +146,18 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
             continue
         if kind == "name" and not TITLED.search(text) or kind == "secret" and not (CONTEXT.search(text) if "v" in pattern.groupindex else digits):
             continue
+        if kind == "name":
+            names = _titled(text)
+            for word in (w for n in names for w in n):
+                add(*word)
+            if names:
+                for word in _untitled(text, names):
+                    add(*word)
+            continue
         for m in pattern.finditer(text):
             group = "v" if "v" in pattern.groupindex else 0
             a, b = m.span(group)
             value = m[group]
-            if kind == "name":
-                first, _, last = value.replace("-", " ").partition(" ")
-                cut = a + len(first)
-                if last:  # a first name with the title's gender, then a last name
-                    add("first_" + TITLES[m["t"].lower()], a, cut, first.lower())
-                    add("last", cut + 1, b, last.lower())
-                else:
-                    add("last", a, b, first.lower())
-                continue
             plain = value.lower() if kind == "email" else value if kind in ("ip", "secret") else "".join(c for c in value if c.isalnum())
             add(kind, a, b, plain.lower() if kind == "secret" and HEXLIKE.fullmatch(plain) else plain)
     return sorted(found, key=lambda e: e[1])
@@ -145,7 +198,7 @@ def surrogate(kind: str, value: str, key: bytes, draw: int) -> str:
         return f"{new}@{''.join(map(d.like, head))}{kept[1] if kept else 'example'}"
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
-    if kind in ("first_m", "first_f", "last"):
+    if kind in ("first_m", "first_f", "first_n", "last"):
         script = script_of(value)
         n = 2 + extra + (len(value) > 6)
         name = "".join(SYLLABLES[script][d.below(len(SYLLABLES[script]))] for _ in range(n))
@@ -171,7 +224,7 @@ def render(kind: str, mention: str, new: str) -> str:
     """The surrogate in the form of a mention: its separators, and its case where all letters agree."""
     if kind in ("email", "ip"):
         return new.upper() if mention.isupper() and kind == "email" else new
-    if kind in ("first_m", "first_f", "last"):
+    if kind in ("first_m", "first_f", "first_n", "last"):
         return new.upper() if mention.isupper() else new.capitalize()
     if kind == "secret":
         letters = [c for c in mention if c.isalpha()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,29 +27,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests) is it set here.
+    The cluster names it in spark.checkpoint.dir. Only a session on one machine (tests) may leave it unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "/tmp/stowlens-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="stowlens-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, shared_folder(df.sparkSession))
+
+
+class Scratch:
+    """Tables in the shared folder that go together, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.tables = spark, shared_folder(spark), 0
 
+    def written(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        return stored(df, f"{self.path}/{self.tables}")
 
-def drop_written(df: DataFrame) -> None:
-    """Removes what written() stored, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    def clear(self) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @functools.cache

@@ -6,14 +6,24 @@ finds the contiguous run with the highest sum. Elements that are never the artic
 headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) score
 nothing and give no text, inside the run or outside. An element that only its class, id or role
 marks, a form, and one whose end tag is missing are read all the same where they hold the article.
+Some marks (share, related, search ...) also stand on parts of articles: each has a weight, fitted on
+labelled pages, and the element is read if its words, less its words in links and its tags, outweigh it.
+Marks that a class denies (no-sidebar, has-sidebar) don't count.
+
+All steps take time in proportion to the page's length, also on broken or hostile markup.
 
 Defined results: a null or empty page, and one without words, gives the empty string. Malformed
-markup is read as far as it goes (open elements end with their parent). Of runs with equal scores the
-first and then the longest wins. Repeated rows are kept, further columns are ignored.
+markup is read as far as it goes (open elements end with their parent, an unfinished tag is text). Of
+runs with equal scores the first and then the longest wins. An article within an article is a part of
+it. Repeated rows are kept, further columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import functools
+import functools
 import html
 import math
 import re
@@ -30,11 +40,14 @@ from stowlens.llm.common import map_batches
 LABELLED_PAGES = 200
 EPOCHS = 8
 
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|select)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>{_ATTRS})>"
+    rf"|<[!?/][^<>]*>",
     re.S | re.I,
 )
 #: Elements that are never part of the article (fixed values).
@@ -46,6 +59,18 @@ MARKS = {
     "newsletter", "notice", "notices", "notification", "popup", "promo", "promoted", "related", "replies", "search", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary",
 }
+#: Marks that parts of articles may have too: their elements are weighed (fixed values).
+WEIGHED = {"banner", "complementary", "masthead", "related", "search", "share", "sharing", "skip", "social", "toolbar", "widget"}
+#: Words before a mark that deny it (fixed values).
+DENIALS = {"no", "not", "has", "with", "without", "non"}
+#: Marks that parts of articles may have too: their elements are weighed (fixed values).
+WEIGHED = {"banner", "complementary", "masthead", "related", "search", "share", "sharing", "skip", "social", "toolbar", "widget"}
+#: Words before a mark that deny it (fixed values).
+DENIALS = {"no", "not", "has", "with", "without", "non"}
+#: Marks that parts of articles may have too: their elements are weighed (fixed values).
+WEIGHED = {"banner", "complementary", "masthead", "related", "search", "share", "sharing", "skip", "social", "toolbar", "widget"}
+#: Words before a mark that deny it (fixed values).
+DENIALS = {"no", "not", "has", "with", "without", "non"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre",
@@ -66,18 +91,68 @@ CLOSES = {
     **dict.fromkeys(("tbody", "tfoot", "thead"), ((frozenset({"tbody", "tfoot", "thead", "tr"}), frozenset({"table"})), (frozenset({"tbody", "tfoot", "thead"}), frozenset({"table"})))),
     "body": ((frozenset({"head"}), frozenset()),),
 }
+#: The name of an article within an article in its tokens.
+NESTED = "section"
+#: The name of an article within an article in its tokens.
+NESTED = "section"
+#: The name of an article within an article in its tokens.
+NESTED = "section"
 #: Stands at both ends of a marked element that holds the article.
 MARKED = "<marked>"
 #: A word's score, and the scores of tags that labelled pages have inside or outside of the article only.
 WORD, INSIDE, OUTSIDE = 1.0, -0.05, -50.0
 #: Scores without labelled pages, and of kinds of tags that they lack.
+#: The least weight of a mark, in words.
+MARK = 10.0
+#: The least weight of a mark, in words.
+MARK = 10.0
+#: The least weight of a mark, in words.
+MARK = 10.0
 OPENING = {"<article>": OUTSIDE, "</article>": OUTSIDE, "<main>": OUTSIDE, "</main>": OUTSIDE, MARKED: OUTSIDE}
 TAG = -0.3
 
 
+def marks_of(attrs: str) -> set[str]:
+    """The words of class, id and role that say that an element isn't the article."""
+    found = set()
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            before = ""
+            for word in WORD_SPLIT.split(name):
+                if word in MARKS and before not in DENIALS:
+                    found.add(word)
+                before = word
+    return found
+
+
+def marks_of(attrs: str) -> set[str]:
+    """The words of class, id and role that say that an element isn't the article."""
+    found = set()
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            before = ""
+            for word in WORD_SPLIT.split(name):
+                if word in MARKS and before not in DENIALS:
+                    found.add(word)
+                before = word
+    return found
+
+
+def marks_of(attrs: str) -> set[str]:
+    """The words of class, id and role that say that an element isn't the article."""
+    found = set()
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            before = ""
+            for word in WORD_SPLIT.split(name):
+                if word in MARKS and before not in DENIALS:
+                    found.add(word)
+                before = word
+    return found
+
+
 def marked(attrs: str) -> bool:
-    """Whether class, id or role says that an element isn't the article."""
-    return any(w in MARKS for m in ATTR.finditer(attrs) for w in WORD_SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+    return bool(marks_of(attrs))
 
 
 class Page:
@@ -95,6 +170,7 @@ class Page:
         self.ends: dict[int, tuple[int, bool]] = {}
         self.stack: list[tuple[str, int]] = []
         self.open: Counter = Counter()
+        self.depths: dict[str, list[int]] = {}  # of a name's open elements in the stack
         at = 0
         for m in TOKEN.finditer(page):
             if m.start() > at:
@@ -107,16 +183,19 @@ class Page:
                 closes = self.open[name] > 0
                 while closes and self.stack[-1][0] != name:
                     self._close(False)
-                self.out.append((f"</{name}>", "", m.start()))
+                inner = NESTED if name in ("article", "main") and self.open[name] != 1 else name
+                self.out.append((f"</{inner}>", "", m.start()))
                 if closes:
                     self._close(True)
             elif name:
                 self._siblings(name)
+                inner = NESTED if name in ("article", "main") and self.open[name] else name
                 if name not in VOID:
                     self.starts[len(self.out)] = name, m["attrs"] or "", self.open["article"] + self.open["main"] > 0
+                    self.depths.setdefault(name, []).append(len(self.stack))
                     self.stack.append((name, len(self.out)))
                     self.open[name] += 1
-                self.out.append((f"<{name}>", "", m.start()))
+                self.out.append((f"<{inner}>", "", m.start()))
         if at < len(page):
             self.out.append(("w", page[at:], at))
         while self.stack:
@@ -124,22 +203,38 @@ class Page:
 
     def _close(self, own: bool) -> None:
         name, i = self.stack.pop()
+        self.depths[name].pop()
         self.open[name] -= 1
         self.ends[i] = len(self.out), own
 
     def _siblings(self, name: str) -> None:
         """Closes what a start tag ends."""
+        deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
+        deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
+        deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
         for ended, within in CLOSES.get(name, ()):
-            if not any(self.open[e] for e in ended):
-                continue
-            for depth in range(len(self.stack) - 1, -1, -1):
-                above = self.stack[depth][0]
-                if above in ended:
-                    while len(self.stack) > depth:
-                        self._close(False)
-                    break
-                if above in within:
-                    break
+            depth = deepest(ended)
+            if depth >= 0 and depth > deepest(within):
+                while len(self.stack) > depth:
+                    self._close(False)
+
+    @functools.cached_property
+    def sums(self) -> list[float]:
+        """Of the tokens before each: words, less words in links and TAG for each tag."""
+        total, link, out = 0.0, 0, [0.0]
+        for i, (kind, text, _) in enumerate(self.out):
+            if kind == "w":
+                total += len(text.split()) * (-1 if i < link else 1)
+            else:
+                total += TAG
+                if kind == "<a>":
+                    link = max(link, self.ends[i][0])
+            out.append(total)
+        return out
+
+    def weight(self, i: int) -> float:
+        """How much prose the element that starts at an index has."""
+        return self.sums[self.ends[i][0]] - self.sums[i]
 
     def kept(self) -> Callable[[int], bool]:
         """Whether the element that starts at an index holds the page's longest unmarked <article> or <main>, or without one most of the page's words."""
@@ -160,11 +255,11 @@ class Page:
         return lambda i: 2 * held(i) > n
 
 
-def tokens_of(page: str) -> list[tuple[str, str, int]]:
+def tokens_of(page: str, weights: dict[str, float] = {}) -> list[tuple[str, str, int]]:
     """(kind, text, position): kind is 'w' for text between tags, else the tag; skipped elements give one tag at most.
 
     A marked element, a form and an element that lacks its end tag are not skipped where they hold
-    the article; then MARKED stands at their ends, which scores low.
+    the article, nor are those whose prose outweighs their marks; then MARKED stands at their ends, which scores low.
     """
     p = Page(page)
     out, i, kept, edges = [], 0, None, set()
@@ -178,9 +273,12 @@ def tokens_of(page: str) -> list[tuple[str, str, int]]:
         if not name or name in ("html", "body", "article", "main"):
             continue
         by_name = name in SKIPPED or name == "header" and not inside
-        if by_name or attrs and marked(attrs):
+        marks = marks_of(attrs) if attrs else ()
+        if by_name or marks:
             end, own = p.ends[i - 1]
             if not (by_name and own and name != "form"):
+                if not by_name and inside and marks <= WEIGHED and p.weight(i - 1) > sum(weights.get("~" + m, MARK) for m in marks):
+                    continue
                 kept = kept or p.kept()
                 if kept(i - 1):
                     out.append((MARKED, "", token[2]))
@@ -190,6 +288,18 @@ def tokens_of(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def mark_weights(pages: list[str]) -> dict[str, float]:
+    """Of each mark to be weighed the prose that its elements have outside of the articles of labelled pages, MARK at least."""
+    out: dict[str, float] = {}
+    for page in map(Page, pages):
+        for i, (_, attrs, inside) in page.starts.items():
+            if attrs and not inside:
+                for m in marks_of(attrs) & WEIGHED:
+                    if not any(page.starts.get(k, ("",))[0] in ("article", "main") for k in range(i, page.ends[i][0])):
+                        out["~" + m] = max(out.get("~" + m, MARK), page.weight(i))
+    return out
+
+
 def score_of(token: tuple[str, str, int], weights: dict[str, float]) -> float:
     kind = token[0]
     return weights["w"] * len(token[1].split()) if kind == "w" else weights.get(kind, OPENING.get(kind, TAG))
@@ -238,12 +348,13 @@ def fit(pages: list[str], epochs: int = EPOCHS) -> dict[str, float]:
     mends what is still wrong: the tags of the labelled run gain and those of the found run lose.
     """
     inside, outside = Counter(), Counter()
-    gold = [(t, r) for t in map(tokens_of, pages) if (r := labelled_run(t))]
+    marks = mark_weights(pages)
+    gold = [(t, r) for t in (tokens_of(p, marks) for p in pages) if (r := labelled_run(t))]
     for tokens, (a, b) in gold:
         for i, (kind, _, _) in enumerate(tokens):
             if kind != "w":
                 (inside if a <= i < b else outside)[kind] += 1
-    weights = {"w": WORD}
+    weights = {"w": WORD, **marks}
     for kind in sorted({*inside, *outside}):
         odds = math.log((inside[kind] + 0.5) / (outside[kind] + 0.5))
         weights[kind] = INSIDE if odds >= 0 else max(OUTSIDE, INSIDE + 10 * odds)
@@ -278,7 +389,7 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
         texts, first, last = [], [], []
         for page in batch.column(2).to_pylist():
             page = page or ""
-            tokens = tokens_of(page)
+            tokens = tokens_of(page, weights)
             a, b = best_run(tokens, weights)
             texts.append(text_of(tokens, (a, b)))
             first.append(tokens[a][2] if b else 0)

@@ -24,6 +24,8 @@ import bisect
 import functools
 import functools
 import functools
+import functools
+import functools
 import html
 import math
 import re
@@ -40,6 +42,8 @@ from stowlens.llm.common import map_batches
 LABELLED_PAGES = 200
 EPOCHS = 8
 
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
 _ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
 _ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
 _ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+"
@@ -71,6 +75,14 @@ DENIALS = {"no", "not", "has", "with", "without", "non"}
 WEIGHED = {"banner", "complementary", "masthead", "related", "search", "share", "sharing", "skip", "social", "toolbar", "widget"}
 #: Words before a mark that deny it (fixed values).
 DENIALS = {"no", "not", "has", "with", "without", "non"}
+#: Marks that parts of articles may have too: their elements are weighed (fixed values).
+WEIGHED = {"banner", "complementary", "masthead", "related", "search", "share", "sharing", "skip", "social", "toolbar", "widget"}
+#: Words before a mark that deny it (fixed values).
+DENIALS = {"no", "not", "has", "with", "without", "non"}
+#: Marks that parts of articles may have too: their elements are weighed (fixed values).
+WEIGHED = {"banner", "complementary", "masthead", "related", "search", "share", "sharing", "skip", "social", "toolbar", "widget"}
+#: Words before a mark that deny it (fixed values).
+DENIALS = {"no", "not", "has", "with", "without", "non"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre",
@@ -97,6 +109,10 @@ NESTED = "section"
 NESTED = "section"
 #: The name of an article within an article in its tokens.
 NESTED = "section"
+#: The name of an article within an article in its tokens.
+NESTED = "section"
+#: The name of an article within an article in its tokens.
+NESTED = "section"
 #: Stands at both ends of a marked element that holds the article.
 MARKED = "<marked>"
 #: A word's score, and the scores of tags that labelled pages have inside or outside of the article only.
@@ -108,6 +124,10 @@ MARK = 10.0
 MARK = 10.0
 #: The least weight of a mark, in words.
 MARK = 10.0
+#: The least weight of a mark, in words.
+MARK = 10.0
+#: The least weight of a mark, in words.
+MARK = 10.0
 OPENING = {"<article>": OUTSIDE, "</article>": OUTSIDE, "<main>": OUTSIDE, "</main>": OUTSIDE, MARKED: OUTSIDE}
 TAG = -0.3
 
@@ -151,6 +171,32 @@ def marks_of(attrs: str) -> set[str]:
     return found
 
 
+def marks_of(attrs: str) -> set[str]:
+    """The words of class, id and role that say that an element isn't the article."""
+    found = set()
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            before = ""
+            for word in WORD_SPLIT.split(name):
+                if word in MARKS and before not in DENIALS:
+                    found.add(word)
+                before = word
+    return found
+
+
+def marks_of(attrs: str) -> set[str]:
+    """The words of class, id and role that say that an element isn't the article."""
+    found = set()
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            before = ""
+            for word in WORD_SPLIT.split(name):
+                if word in MARKS and before not in DENIALS:
+                    found.add(word)
+                before = word
+    return found
+
+
 def marked(attrs: str) -> bool:
     return bool(marks_of(attrs))
 
@@ -212,6 +258,8 @@ class Page:
         deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
         deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
         deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
+        deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
+        deepest = lambda names: max((self.depths[e][-1] for e in names if self.open[e]), default=-1)
         for ended, within in CLOSES.get(name, ()):
             depth = deepest(ended)
             if depth >= 0 and depth > deepest(within):

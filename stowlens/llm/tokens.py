@@ -58,7 +58,7 @@ class Encoder:
     token, as the library has it by default. They hold no blanks, so the cuts are valid either way.
     """
 
-    def __init__(self, path: str, memo: int = MEMO_PIECES, special_as_text: bool = True):
+    def __init__(self, path: str, memo: int = MEMO_PIECES, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -1,6 +1,7 @@
 """The numbered queries on the small tables, against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -26,7 +27,6 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def coded(docs):
     t = Tokenizer.from_file(tokens.vocabulary_file())
-    t.encode_special_tokens = True
     return {k: t.encode(v, add_special_tokens=False).ids for k, v in docs.items()}
 
 
@@ -191,7 +191,7 @@ def test_op9_ids(spark, coded):
     assert [r.doc_id for r in out] == sorted(coded)
     for r in out:
         ids = [*coded[r.doc_id], 0]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc(ids))
+        assert (r.start, r.n_tokens, r.ids_crc32, r.last_id, r.n_end_ids) == (start, len(ids), crc(ids), 0, ids.count(0))
         start += len(ids)
 
 
@@ -202,25 +202,28 @@ def test_op9_many_shards(spark, docs, coded):
     assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out])[:-1].tolist()]
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 5000])
+@pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 5000, 32767, 32768, 32769, 100_000])
 def test_op9_rank_and_select(n):
     ids = np.random.default_rng(n).choice([0, 1, 5, 300, 50256, 65535], n).astype("<u2")
-    doc_ids, lengths, m = wavelet.load(wavelet.dump([3, None], [ids[: n // 2].tobytes(), ids[n // 2 :].tobytes()]))
+    m = wavelet.Shard(io.BytesIO(wavelet.dump([3, None], [ids[: n // 2].tobytes(), ids[n // 2 :].tobytes()])))
+    doc_ids, lengths = m.documents()
     assert doc_ids == [3, None] and lengths.tolist() == [n // 2, n - n // 2] and m.ids().tolist() == ids.tolist()
-    assert [m.access(i) for i in range(min(n, 200))] == ids[:200].tolist()
+    assert [m.access(i) for i in range(min(n, 200))] == ids[:200].tolist() and m.access(np.arange(n)).tolist() == ids.tolist()
     for t in (0, 5, 50256, 77):
         at = np.flatnonzero(ids[:1500] == t).tolist()
         assert m.count(t) == int((ids == t).sum()) and m.count(t, n // 3) == int((ids[: n // 3] == t).sum())
         assert [m.select(t, k) for k in range(min(20, len(at)))] == at[:20]
+        everywhere = np.flatnonzero(ids == t)
+        assert m.count(t, np.arange(n + 1)).tolist() == [0, *np.cumsum(ids == t).tolist()]
+        assert all(m.select(t, k) == everywhere[k] for k in range(0, len(everywhere), 997))
 
 
 def test_op9_encoder_equals_the_tokenizer():
     t = Tokenizer.from_file(tokens.vocabulary_file())
-    t.encode_special_tokens = True
     rng = random.Random(9)
     parts = [" ", "  ", "\n", "\n\n", "\t", "a", "The", "word,", "end.", "...", "don't", "<|endoftext|>", "é", "漢字", " ", " ", "12345", "'s", "!", "\r\n", "\U0001f600"]
     texts = ["", " ", "\n", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 15))) for _ in range(3000))]
-    got = tokens.Encoder(tokens.vocabulary_file(), memo=50).encode(texts)
+    got = tokens.Encoder(tokens.vocabulary_file(), memo=50, special_as_text=False).encode(texts)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -263,3 +266,21 @@ def test_op10_crossover_keeps_every_piece_once():
         assert child[2] == [sum(sizes[i] for i in b) for b in child[1]] and max(child[2]) <= 100
     best = packing.evolve(sizes, [p[1] for p in people], 1, 100)
     assert len(best[1]) <= min(len(p[1]) for p in people)
+
+
+def test_op9_access_reads_a_few_blocks():
+    """One token of a large shard costs the directory and a block of each level, not the file."""
+    ids = np.random.default_rng(1).integers(0, 50257, 1 << 20).astype("<u2")
+    data = wavelet.dump([1], [ids.tobytes()])
+
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, n=-1):
+            self.got += n
+            return super().read(n)
+
+    file = Counted(data)
+    m = wavelet.Shard(file)
+    assert m.access(777_777) == ids[777_777] and m.select(int(ids[5]), 0) == int(np.flatnonzero(ids == ids[5])[0])
+    assert file.got < len(data) / 5

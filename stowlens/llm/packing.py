@@ -4,12 +4,15 @@ Documents become pieces: a longer document is cut so that all pieces but the fir
 pieces are sequences already. The others are dealt into chunks of about CHUNK_PIECES pieces by a hash;
 each chunk is evolved by ISLANDS islands, which are separate tasks. An individual is a list of
 bins. Crossover puts whole well-filled bins of one parent into the other, removes the bins that
-now hold a piece twice, and best-fits the displaced pieces, longest first. Between epochs each
-island's elite migrates to the next island; at the end each chunk keeps its best individual.
+now hold a piece twice, and best-fits the displaced pieces, longest first. Mutation empties bins and
+fills new ones from their pieces, each bin with the pieces that fill it best. Between epochs each
+island's elite migrates to the next island; at the end each chunk keeps its best individual. An island
+ends early when its best individual has no more bins than the pieces' total needs.
 
 Defined results: a null or empty text is a piece of one token, the end id; repeated rows are
 pieces of their own; an empty table gives no rows; further columns are ignored. Given the same
-rows the result is the same, for seeds come from chunk, island and epoch.
+rows the pieces that share a sequence are the same (up to equal pieces), for chunks, seeds and the order
+of pieces come from document ids and contents; the numbers of full pieces' sequences depend on partitions.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from stowlens.llm import tokens
 from stowlens.llm.common import map_batches, whole_text, written
 
 CAPACITY, END_ID = 1024, 2
-CHUNK_PIECES, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_000, 2, 2, 5, 4
+CHUNK_PIECES, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_000, 2, 3, 6, 5
 
 Bins = list[list[int]]
 
@@ -79,6 +82,47 @@ def best_fit(bins: Bins, fills: list[int], items: list[int], sizes: list[int], c
         mask |= 1 << left
 
 
+def fill_best(items: list[int], sizes: list[int], capacity: int) -> tuple[Bins, list[int]]:
+    """New bins, each begun by the longest item left and filled by the one or two others that leave least room, then by what still fits."""
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    mask = 0
+    for item in sorted(items, reverse=True):
+        waiting[sizes[item]].append(item)
+        mask |= 1 << sizes[item]
+    bins, fills = [], []
+
+    def take(size: int) -> int:
+        nonlocal mask
+        item = waiting[size].pop()
+        if not waiting[size]:
+            mask &= ~(1 << size)
+        return item
+
+    def longest(room: int) -> int:
+        return (mask & ((2 << room) - 1)).bit_length() - 1
+
+    while mask:
+        first = mask.bit_length() - 1
+        group, room = [take(first)], capacity - first
+        while (one := longest(room)) > 0:
+            best, two = one, 0
+            if one < room:
+                left = mask & ((2 << room) - 1)
+                while left and 2 * (b := left.bit_length() - 1) > best:
+                    left ^= 1 << b
+                    rest = (left | (1 << b if len(waiting[b]) > 1 else 0)) & ((2 << (room - b)) - 1) if b < room else 0
+                    c = rest.bit_length() - 1
+                    if c > 0 and b + c > best:
+                        best, one, two = b + c, b, c
+                        if best == room:
+                            break
+            group += [take(k) for k in (one, two) if k]
+            room -= best
+        bins.append(group)
+        fills.append(capacity - room)
+    return bins, fills
+
+
 def fitness(fills: list[int], capacity: int) -> tuple[float, float]:
     """Fewer bins first, then fuller ones."""
     return -len(fills), sum((f / capacity) ** 2 for f in fills) / max(1, len(fills))
@@ -114,14 +158,16 @@ def crossover(a: Packed, b: Packed, sizes: list[int], capacity: int, rng: random
 
 
 def mutate(a: Packed, sizes: list[int], capacity: int, rng: random.Random) -> Packed:
-    """The worst-filled bins and a few others emptied, and their pieces best-fitted again."""
+    """The worst-filled bins and a few others emptied and new ones filled from their pieces; those of the emptiest new bins are best-fitted."""
     _, bins, fills = a
     order = sorted(range(len(bins)), key=fills.__getitem__)
-    few = max(1, len(bins) // 50)
+    few = max(1, len(bins) // rng.choice((10, 20, 50)))
     out = {*order[:few], *rng.sample(order, few)}
-    loose = [i for k in out for i in bins[k]]
     kept = [k for k in range(len(bins)) if k not in out]
-    return packed([list(bins[k]) for k in kept], [fills[k] for k in kept], loose, sizes, capacity)
+    new, filled = fill_best([i for k in sorted(out) for i in bins[k]], sizes, capacity)
+    good = [k for k, f in enumerate(filled) if 2 * f > capacity]
+    loose = [i for k, f in enumerate(filled) if 2 * f <= capacity for i in new[k]]
+    return packed([list(bins[k]) for k in kept] + [new[k] for k in good], [fills[k] for k in kept] + [filled[k] for k in good], loose, sizes, capacity)
 
 
 def evolve(sizes: list[int], start: list[Bins], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION) -> Packed:
@@ -132,13 +178,16 @@ def evolve(sizes: list[int], start: list[Bins], seed: int, capacity: int = CAPAC
     people = [packed([list(g) for g in s], [sum(sizes[i] for i in g) for g in s], [], sizes, capacity) for s in start]
     if not people:
         people.append(packed([], [], items[:], sizes, capacity))
-    while len(people) < population and len(people[0][1]) > least:
+        if len(people[0][1]) > least:
+            bins, fills = fill_best(items, sizes, capacity)
+            people.append((fitness(fills, capacity), bins, fills))
+    rank = lambda p: p[0]
+    while len(people) < population and len(max(people, key=rank)[1]) > least:
         noise = [s + rng.randrange(1 + capacity // 16) for s in sizes]
         bins: Bins = []
         fills: list[int] = []
         best_fit(bins, fills, sorted(items, key=lambda i: (-noise[i], i)), sizes, capacity)
         people.append((fitness(fills, capacity), bins, fills))
-    rank = lambda p: p[0]
     people.sort(key=rank, reverse=True)
     for _ in range(generations):
         if len(people[0][1]) <= least:
@@ -159,7 +208,7 @@ def _to_bins(values: np.ndarray) -> Bins:
 
 def _island(frame: pd.DataFrame, epoch: int, capacity: int) -> pd.DataFrame:
     """Evolves one island of one chunk; own_bin and come_bin are its elite and the arrived one, -1 at first."""
-    frame = frame.sort_values("uid", ignore_index=True)
+    frame = frame.sort_values(["ord", "uid"], ignore_index=True)
     sizes = frame["length"].tolist()
     start = [_to_bins(frame[c].to_numpy()) for c in ("own_bin", "come_bin") if len(frame) and frame[c].iloc[0] >= 0]
     chunk, island = int(frame["chunk"].iloc[0]), int(frame["island"].iloc[0])
@@ -181,14 +230,14 @@ def _evolver(epoch: int, capacity: int, names: list[str]) -> Callable[[pd.DataFr
     return lambda frame: _island(frame, epoch, capacity)[names]
 
 
-_EVOLVED = "uid bigint, chunk int, island int, length bigint, own_bin bigint, come_bin bigint, offset bigint, n_bins bigint, fit double"
+_EVOLVED = "uid bigint, ord bigint, chunk int, island int, length bigint, own_bin bigint, come_bin bigint, offset bigint, n_bins bigint, fit double"
 
 
 def assign(items: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIECES) -> DataFrame:
-    """chunk, own_bin and offset for every (uid, length); uids are distinct and lengths below the capacity."""
+    """chunk, own_bin and offset for every (uid, ord, length); uids are distinct, ord says which chunk and place a piece takes, lengths are below the capacity."""
     n = items.count()
     chunks = max(1, -(-n // chunk_pieces))
-    state = items.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(chunks)).cast("int").alias("chunk"))
+    state = items.select("uid", "ord", "length", F.pmod("ord", F.lit(chunks)).cast("int").alias("chunk"))
     state = state.withColumn("island", F.explode(F.array([F.lit(i) for i in range(ISLANDS)])))
     state = state.withColumns({"own_bin": F.lit(-1).cast("long"), "come_bin": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long"), "n_bins": F.lit(0).cast("long"), "fit": F.lit(0.0)})
     for epoch in range(EPOCHS):
@@ -203,9 +252,9 @@ def assign(items: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces(); every full piece is a sequence by itself."""
-    cut = written(cut.withColumn("uid", F.monotonically_increasing_id()))
+    cut = written(cut.withColumns({"uid": F.monotonically_increasing_id(), "ord": F.xxhash64("doc_id", "piece", "length", "ids_crc32")}))
     placed = assign(cut.where(F.col("length") < capacity), capacity, chunk_pieces)
     spots = placed.select("uid", (F.shiftleft(F.col("chunk").cast("long"), 24) + F.col("own_bin")).alias("sequence_id"), "offset")
     part = cut.where(F.col("length") < capacity).join(spots, "uid")
     full = cut.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
-    return part.unionByName(full).drop("uid")
+    return part.unionByName(full).drop("uid", "ord")

@@ -284,3 +284,26 @@ def test_op9_access_reads_a_few_blocks():
     m = wavelet.Shard(file)
     assert m.access(777_777) == ids[777_777] and m.select(int(ids[5]), 0) == int(np.flatnonzero(ids == ids[5])[0])
     assert file.got < len(data) / 5
+
+
+def test_op10_evolution_beats_best_fit_decreasing():
+    """On sizes that best fit packs badly the search finds fewer bins, and every epoch keeps what it got."""
+    rng = random.Random(10)
+    for sizes in ([rng.randrange(300, 501) for _ in range(2000)], [rng.choice((257, 258, 383, 385, 510, 512)) for _ in range(1500)]):
+        plain = packing.packed([], [], list(range(len(sizes))), sizes, 1024)
+        first = packing.evolve(sizes, [], 1)
+        later = packing.evolve(sizes, [first[1]], 2)
+        assert len(first[1]) < len(plain[1]) and len(later[1]) <= len(first[1])
+        for _, bins, fills in (first, later):
+            assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and fills == [sum(sizes[i] for i in b) for b in bins] and max(fills) <= 1024
+
+
+def test_op10_same_rows_same_sequences(spark, docs):
+    def shared(df):
+        out = defaultdict(set)
+        for r in packing.pack(packing.pieces(df, tokens.vocabulary_file())).collect():
+            out[r.sequence_id].add((r.doc_id, r.piece))
+        return {frozenset(v) for v in out.values()}
+
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert shared(df.repartition(2)) == shared(df.repartition(7))

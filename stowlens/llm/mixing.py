@@ -1,13 +1,17 @@
 """Mixing sources to target weights by soft membership, in DataFrame and SQL expressions only.
 
 A labelled table (doc_id, domain) fits a naive Bayes classifier on binned features of the text; it
-gives every document its posterior of each domain. With p the posterior, n the tokens and r >= 0 the
-rate of a document, the expected tokens of domain d are sum(n p_d r). Projected gradient descent on
-least squares finds rates whose expected totals meet the targets: in every step the totals are one
-distributed aggregation, and r <- max(0, y + p . M^-1 (target - total)), where M = sum(n p p^T), y is r
-carried on by a momentum (as in accelerated gradients), and the total is taken at y; in the metric that
-weighs residuals by M^-1 and rates by n this is the gradient step of length one. Rates depend on a document only through p, so totals are taken over the distinct
-posteriors, which the bins bound.
+gives every document its posterior of each domain. With p the posterior, n the tokens and r the
+rate of a document, the expected tokens of domain d are sum(n p_d r). Projected gradient descent on least
+squares finds rates whose expected totals meet the targets. Its gradient steps add up in y = 1 + p . v, where
+each step adds to v the residual target - total, scaled by the inverse of sum(n p p^T) over documents within
+bounds (shortened where the dual objective would fall); rates are y's projection on [FLOOR, CEILING]. So
+descent ends at the rates nearest to 1 (in squares weighed by tokens) that meet the targets: nothing is
+changed more than needed, and no document's rate is 0. Rates depend on a document only through p, so totals
+are one distributed aggregation over the distinct posteriors, which the bins bound.
+
+Targets that no rates within the bounds meet are approached from the totals that the corpus has, as many
+quarters of the way as the bounds allow; `reached` says how far, and with 0 all rates stay 1.
 
 Defined results: a null or empty text has no tokens and the features of an empty text; its rate
 counts for nothing. Repeated rows count each. Of several labels of a document the least domain is
@@ -24,9 +28,11 @@ from pyspark.sql import functions as F
 
 from stowlens.llm.common import written
 
-STEPS, TOLERANCE = 100, 1e-4
-#: Targets out of reach: steps end when PATIENCE of them lessen the least gap so far by less than a tenth; those up to the least gap count.
-PATIENCE = 10
+STEPS, TOLERANCE = 15, 1e-5
+#: Bounds of rates.
+FLOOR, CEILING = 0.05, 8.0
+#: Shares of the way to the targets that are tried.
+WAYS = (1.0, 0.75, 0.5, 0.25)
 #: Labelled rows that the word list is drawn from, at most; words in it.
 LEXICON_ROWS, LEXICON = 6000, 80
 
@@ -113,19 +119,14 @@ def posteriors(model: dict) -> Column:
     return F.expr(_let(odds, "e", "transform(e, x -> round(x / aggregate(e, 0D, (a, b) -> a + b), 9))"))
 
 
-def _moved(history: list[list[float]], start: float) -> Column:
-    """(r, q): a document's rate after the steps in history and the one before the last of them."""
-    if not history:
-        return F.struct(F.lit(start).alias("r"), F.lit(start).alias("q"))
-    steps = ", ".join("array(" + ", ".join(f"{x!r}D" for x in h) + ")" for h in history)
-    dot = "aggregate(zip_with(p, slice(h, 2, size(h) - 1), (x, y) -> x * y), 0D, (a, b) -> a + b)"
-    step = f"(s, h) -> named_struct('r', greatest(0D, s.r + h[0] * (s.r - s.q) + {dot}), 'q', s.r)"
-    return F.expr(f"aggregate(array({steps}), named_struct('r', {start!r}D, 'q', {start!r}D), {step})")
+def _y(v: list[float]) -> str:
+    """1 + p . v as SQL."""
+    return " + ".join(["1D", *(f"{x!r}D * p[{i}]" for i, x in enumerate(v))])
 
 
-def rate(history: list[list[float]], start: float = 1.0) -> Column:
-    """r of a document with posteriors p after the steps in history, each a momentum and a vector over the domains."""
-    return _moved(history, start).getField("r")
+def rate(v: list[float]) -> Column:
+    """r of a document with posteriors p."""
+    return F.expr(f"least({CEILING!r}D, greatest({FLOOR!r}D, {_y(v)}))")
 
 
 def _solve(m: list[list[float]], v: list[float]) -> list[float]:
@@ -146,65 +147,72 @@ def _solve(m: list[list[float]], v: list[float]) -> list[float]:
 
 
 def fit_rates(scored: DataFrame, domains: list[str], weights: dict[str, float], growth: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> dict:
-    """Steps of projected gradient descent towards weights[d] * growth * (all tokens) of each domain.
+    """v of rate(), whose totals are weights[d] * growth * (all tokens) for each domain, or `reached` of the way there from what the corpus has.
 
     scored has p and n_tokens. Weights are scaled to sum to one; a domain without a weight keeps its share.
+    targets are the totals that were aimed at in the end, wanted those that the weights ask for.
     """
     k = len(domains)
     cells = written(scored.groupBy("p").agg(F.sum("n_tokens").alias("n")).where("n > 0"))
-    parts = [F.sum(F.col("n") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]
-    parts += [F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
-    first = cells.agg(F.sum("n").alias("n"), *parts).first()
-    if not first.n:
-        return {"history": [], "targets": [0.0] * k, "totals": [0.0] * k}
-    have = [first[f"t{i}"] for i in range(k)]
-    share = [weights.get(d, have[i] / first.n) for i, d in enumerate(domains)]
-    targets = [growth * first.n * s / sum(share) for s in share]
-    m = [[first[f"m{i}_{j}"] for j in range(k)] for i in range(k)]
-    history: list[list[float]] = []
-    totals = ahead = have
-    t, momentum = 1.0, 0.0
-    trail: list[tuple[float, int, list[float]]] = []  # largest gap, steps, totals
-    for k in range(steps + 1):
-        trail.append((max(abs(x - y) for x, y in zip(targets, totals, strict=True)), k, totals))
-        before = min(g for g, *_ in trail[:-PATIENCE] or trail)
-        if trail[-1][0] <= tolerance * first.n or k > PATIENCE and min(trail)[0] > 0.9 * before or k == steps:
-            break
-        history.append([momentum, *_solve(m, [x - y for x, y in zip(targets, ahead, strict=True)])])
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        t, momentum = after, (t - 1) / after
-        r, q = (F.col("s").getField(k) for k in "rq")
-        spots = {"t": r, "y": r + momentum * (r - q)}
-        sums = [F.sum(F.col("n") * v * F.col("p")[i]).alias(f"{k}{i}") for k, v in spots.items() for i in range(len(domains))]
-        row = cells.withColumn("s", _moved(history, 1.0)).agg(*sums).first()
-        totals, ahead = ([row[f"{k}{i}"] for i in range(len(domains))] for k in spots)
-    _, best, totals = min(trail)
-    return {"history": history[:best], "targets": targets, "totals": totals}
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0) -> tuple[DataFrame, dict]:
-    """docs with n_tokens, p (by model["domains"]) and rate; and the model with its targets and totals."""
+
+    def at(v: list[float]) -> dict:
+        """All tokens, the totals, sum(n p p^T) over rates within bounds, and the dual's part that has no target."""
+        r = rate(v)
+        spot = cells.withColumns({"r": r, "z": F.expr(_y(v)) - 1}).withColumn("free", F.expr(f"if(z + 1 > {FLOOR!r}D and z + 1 < {CEILING!r}D, n, 0)"))
+        sums = [F.sum(F.col("n") * F.col("r") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]
+        sums += [F.sum(F.col("free") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
+        row = spot.agg(F.sum("n").alias("n"), F.sum(F.expr("n * (r * z - (r - 1) * (r - 1) / 2)")).alias("dual"), *sums).first()
+        if not row.n:
+            return {"n": 0}
+        return {"n": row.n, "dual": row.dual, "totals": [row[f"t{i}"] for i in range(k)], "m": [[row[f"m{i}_{j}"] for j in range(k)] for i in range(k)]}
+
+    begin = at([0.0] * k)
+    n = begin["n"]
+    if not n:
+        return {"v": [0.0] * k, "wanted": [0.0] * k, "targets": [0.0] * k, "totals": [0.0] * k, "reached": 1.0, "steps": 0}
+    have = begin["totals"]
+    share = [weights.get(d, have[i] / n) for i, d in enumerate(domains)]
+    wanted = [growth * n * s / sum(share) for s in share]
+    taken = 0
+    for way in WAYS:
+        targets = [a + way * (b - a) for a, b in zip(have, wanted, strict=True)]
+        value = lambda v, spot: sum(x * y for x, y in zip(v, targets, strict=True)) - spot["dual"]  # noqa: B023, E731
+        v, spot = [0.0] * k, begin
+        for _ in range(steps):
+            gap = [a - b for a, b in zip(targets, spot["totals"], strict=True)]
+            if max(map(abs, gap)) <= tolerance * n:
+                return {"v": v, "wanted": wanted, "targets": targets, "totals": spot["totals"], "reached": way, "steps": taken}
+            step, length = _solve(spot["m"], gap), 1.0
+            while length > 1e-3:
+                ahead = [a + length * b for a, b in zip(v, step, strict=True)]
+                there, taken = at(ahead), taken + 1
+                if value(ahead, there) > value(v, spot):
+                    break
+                length /= 4
+            else:
+                break  # no step helps: out of reach, or as near as numbers allow
+            v, spot = ahead, there
+    return {"v": [0.0] * k, "wanted": wanted, "targets": have, "totals": have, "reached": 0.0, "steps": taken}
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, columns: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """docs (or some of its columns) with n_tokens, p (by model["domains"]) and rate; and the model with its targets and totals.
+
+    Features are computed once and written with the columns.
+    """
     lexicon = word_list(docs, labels)
-    features = written(featured(docs.select("doc_id", "text"), lexicon).select("doc_id", "mix_features"))
+    drop = {"mix_features", "n_tokens", "p", "rate", *BINS}
+    columns = [c for c in columns or docs.columns if c not in drop]
+    features = written(featured(docs, lexicon).select(*columns, "mix_features"))
     model = fit_classifier(features, labels)
     scored = features.select(posteriors(model).alias("p"), "mix_features.n_tokens")
-    model |= fit_rates(scored, model["domains"], weights, growth) | {"lexicon": lexicon, "features": features}
-    return apply_rates(featured(docs, lexicon), model), model
-
-
-def apply_rates(features: DataFrame, model: dict) -> DataFrame:
-    drop = [c for c in features.columns if c in ("p", "rate")]
-    out = features.drop(*drop).withColumn("p", posteriors(model)).withColumn("rate", F.round(rate(model["history"]), 6))
-    return out.withColumn("n_tokens", F.col("mix_features.n_tokens")).drop("mix_features")
+    model |= fit_rates(scored, model["domains"], weights, growth) | {"lexicon": lexicon}
+    out = features.withColumn("p", posteriors(model)).withColumn("rate", F.round(rate(model["v"]), 6))
+    return out.withColumn("n_tokens", F.col("mix_features.n_tokens")).drop("mix_features"), model
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """Each row floor(rate) times, and once more with the chance of the rest, by a hash of its id.
-
-    Rates are written first: the optimizer would push the test on the copies down to the texts with
-    the whole of the rate's expression in it, and compute a text's features for every step and domain.
-    """
+    """Each row floor(rate) times, and once more with the chance of the rest, by a hash of its id."""
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(1 << 20)
-    n = F.floor(F.col("rate") + chance).cast("int")
-    rows = written(mixed).withColumn("mix_copy", n).where("mix_copy > 0")
+    rows = mixed.withColumn("mix_copy", F.floor(F.col("rate") + chance).cast("int")).where("mix_copy > 0")
     return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copy"))))

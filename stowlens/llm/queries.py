@@ -58,7 +58,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    mixed, model = mixing.mix(docs.select("doc_id", "text"), domains(labels), MIX_WEIGHTS, MIX_GROWTH)
+    mixed, model = mixing.mix(docs.select("doc_id", "text"), domains(labels), MIX_WEIGHTS, MIX_GROWTH, ["doc_id"])
     return mixed.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model["domains"])], "rate")
 
 

@@ -185,6 +185,65 @@ def test_op8_totals_meet_targets(spark):
     assert sum(model["targets"]) == pytest.approx(n)
 
 
+def test_op8_posteriors_by_hand(spark):
+    """Bins, counts and posteriors in plain Python."""
+    docs, labels = table(spark, DIR, "documents").select("doc_id", "text"), queries.domains(table(spark, DIR, "labels"))
+    mixed, model = mixing.mix(docs, labels, {"low": 0.1})
+    got = {r.doc_id: (r.n_tokens, list(r.p), r.text) for r in mixed.collect()}
+    bounds = {k: b for k, (_, b) in mixing.BINS.items()}
+
+    def bins(text):
+        t = text or ""
+        w = re.split(r"[\x20\x09-\x0D.,!?#*$%&|<>]+", t.lower().strip(" \t\n\x0b\x0c\r.,!?#*$%&|<>"))
+        n = 0 if w[-1] == "" else len(w)
+        values = {
+            "f_symbols": sum(map(t.count, "#*$%&|<>")) / max(1, len(w)), "f_shouts": t.count("!") / max(1, len(w)), "f_length": len(w), "f_variety": len(set(w)) / max(1, len(w)),
+            "f_capitals": sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t) / max(1, len(t.encode())), "f_words": len(set(w) & set(model["lexicon"])),
+        }
+        return n, {k: sum(values[k] >= x for x in b) for k, b in bounds.items()}
+
+    known = {r.doc_id: r.domain for r in labels.collect()}
+    seen = {k: bins(t) for k, (_, _, t) in got.items()}
+    total = Counter(known[k] for k in got if k in known)
+    for k, (n, p, _) in got.items():
+        odds = []
+        for d in model["domains"]:
+            x = np.log((total[d] + 1) / (sum(total.values()) + len(total)))
+            for f, b in bounds.items():
+                hits = sum(known.get(j) == d and seen[j][1][f] == seen[k][1][f] for j in got)
+                x += np.log((hits + 0.5) / (total[d] + 0.5 * (len(b) + 1)))
+            odds.append(x)
+        e = np.exp(np.array(odds) - max(odds))
+        assert n == seen[k][0] and p == pytest.approx(e / e.sum(), abs=2e-9)
+
+
+def test_op8_rates_are_the_nearest_to_one(spark):
+    """Against a plain solver; out of reach, the bounds hold and the way that was reached is told."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([2, 0.4, 0.4], 300).round(6)
+    n = rng.integers(1, 500, 300)
+    df = spark.createDataFrame([(list(map(float, a)), int(b)) for a, b in zip(p, n, strict=True)], "p array<double>, n_tokens long")
+    for weights, within in (({"b": 0.08, "c": 0.1}, True), ({"b": 0.001, "c": 0.0001}, False)):
+        found = mixing.fit_rates(df, ["a", "b", "c"], weights)
+        rates = np.array([r[0] for r in df.select(mixing.rate(found["v"])).collect()])
+        assert rates.min() >= mixing.FLOOR and rates.max() <= mixing.CEILING
+        assert p.T @ (n * rates) == pytest.approx(found["targets"], abs=2e-5 * n.sum())
+        assert (found["reached"] == 1) == within and (not within or found["targets"] == found["wanted"])
+        for _ in range(20):  # no other rates that meet the targets within bounds are nearer
+            free = np.flatnonzero((rates > mixing.FLOOR + 1e-6) & (rates < mixing.CEILING - 1e-6))
+            a = (p * n[:, None])[free].T
+            move = rng.normal(size=len(free))
+            move -= np.linalg.pinv(a) @ (a @ move)
+            assert abs((n[free] * (rates[free] - 1) * move).sum()) <= 1e-3 * n.sum() * np.abs(move).max()
+
+
+def test_op8_keeps_clean_documents(spark):
+    docs, labels = table(spark, LARGEST, "documents").select("doc_id", "text"), queries.domains(table(spark, LARGEST, "labels"))
+    mixed, model = mixing.mix(docs, labels, queries.MIX_WEIGHTS)
+    rates = sorted(r.rate for r in mixed.join(labels.where("domain = 'clean'"), "doc_id").collect())
+    assert model["reached"] == 1 and rates[0] >= mixing.FLOOR and rates[len(rates) // 20] > 0.9
+
+
 def test_op9_ids(spark, coded):
     start = 0
     out = sorted(queries.op9_wavelet_output(spark, DIR).collect(), key=lambda r: r.doc_id)

@@ -46,8 +46,8 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    found = toxicity.classify(docs, toxicity.fit(docs, labels.where(~held_out)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    found = toxicity.classify(docs, toxicity.fit(docs, labels.where("doc_id is not null").where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "clause_weight")
 
 

@@ -1,27 +1,31 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses, and each word of a clause is a symbol: insult, threat, target, negation,
-reporting verb, or other. Four small transducers, one for each kind of context, read the symbols and
-weigh the insults and threats they pass: a negation within reach lessens them, reported speech
-lessens them to the end of the clause, a target in the clause strengthens them, and a threat counts
-in full only with a target. Their composition is one machine over the product of their states. The
-weights of all matched clauses of the whole text add up, and a logistic curve makes them a score.
+reporting verb, or other. Five small transducers read the symbols and weigh the insults and threats
+they pass. Two are patterns that a clause matches or not: insult (an insult aimed at a target, before or after
+it, is a whole match, one without a target a faint match only) and threat (a threat counts where a target has
+been named before it or comes after it). Three weigh context: a negation within reach lessens
+what follows, reported speech lessens it to the end of the clause, and a target that is addressed more than
+once strengthens the clause. Their composition is one machine over the product of their states. Arcs carry
+factors; what a later target decides is settled by the factor of the final state, for insults and threats apart.
+The weights of all matched clauses of the whole text add up, and a logistic curve makes them a score.
 
 Which words are insults and threats, and how much they weigh, is learned from labelled texts: words
-and beginnings of words by their log-odds in toxic and other texts. The short lists of targets,
-negations, reporting verbs and threats below are fixed.
+and beginnings of words by their log-odds in toxic and other texts; a learned word of the threat list stays
+a threat. The short lists of targets, negations, reporting verbs and threats below are fixed.
 
 Defined results: a null or empty text has no clause and scores as a text without matches; equal
 texts score equally; repeated rows are kept; further columns are ignored; without labels there is
-no lexicon and every text gets the prior's score.
+no lexicon and every text gets the prior's score. Words are cut at blanks and at the marks that end clauses.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -45,45 +49,52 @@ INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 CLAUSE = re.compile(r"[.!?;:\n,()\"“”«»]+")
 EDGE = re.compile(r"^\W+|\W+$")
 
-#: A transducer: from (state, symbol) to (next state, factor on the weight of the word read); and a factor by final state.
-Machine = tuple[dict[tuple[int, int], tuple[int, float]], dict[int, float]]
+#: What a final state makes of the clause's insults and of its threats.
+Final = tuple[float, float]
+#: A transducer: from (state, symbol) to (next state, factor on the weight of the word read); and the factors of final states.
+Machine = tuple[dict[tuple[int, int], tuple[int, float]], dict[int, Final]]
 
 
-def negation(reach: int = 3, factor: float = 0.5) -> Machine:
-    """State k > 0: a negation stood reach - k + 1 words before."""
-    arcs = {(k, s): (max(0, k - 1), factor if k and s in (INSULT, THREAT) else 1.0) for k in range(reach + 1) for s in range(6)}
-    arcs |= {(k, NEGATION): (reach, 1.0) for k in range(reach + 1)}
-    return arcs, dict.fromkeys(range(reach + 1), 1.0)
+def _over(states: int, step: Callable[[int, int], tuple[int, float]], finals: list[Final]) -> Machine:
+    """A machine from its step function."""
+    return {(k, s): step(k, s) for k in range(states) for s in range(6)}, dict(enumerate(finals))
 
 
-def reported(factor: float = 0.6) -> Machine:
-    arcs = {(k, s): (int(k or s == REPORT), factor if k and s in (INSULT, THREAT) else 1.0) for k in range(2) for s in range(6)}
-    return arcs, {0: 1.0, 1: 1.0}
+def insult(faint: float = 0.6) -> Machine:
+    """State 1: a target was named. Insults of a clause without one match faintly."""
+    return _over(2, lambda k, s: (int(k or s == TARGET), 1.0), [(faint, 1.0), (1.0, 1.0)])
+
+
+def threat(aimless: float = 0.2) -> Machine:
+    """State 1: a target was named. Threats of a clause without one hardly match."""
+    return _over(2, lambda k, s: (int(k or s == TARGET), 1.0), [(1.0, aimless), (1.0, 1.0)])
 
 
 def target(factor: float = 1.3) -> Machine:
-    arcs = {(k, s): (int(k or s == TARGET), 1.0) for k in range(2) for s in range(6)}
-    return arcs, {0: 1.0, 1: factor}
+    """State k: so many targets were named, 2 at most."""
+    return _over(3, lambda k, s: (min(2, k + (s == TARGET)), 1.0), [(1.0, 1.0), (1.0, 1.0), (factor, factor)])
 
 
-def threat(aimless: float = 0.2) -> Machine:
-    """A threat before any target counts little; an insult passes."""
-    arcs = {(k, s): (int(k or s == TARGET), aimless if s == THREAT and not k else 1.0) for k in range(2) for s in range(6)}
-    return arcs, {0: 1.0, 1: 1.0}
+def negation(reach: int = 3, factor: float = 0.5) -> Machine:
+    """State k > 0: a negation stood reach - k + 1 words before."""
+    lessens = lambda k, s: factor if k and s in (INSULT, THREAT) else 1.0
+    return _over(reach + 1, lambda k, s: (reach if s == NEGATION else max(0, k - 1), lessens(k, s)), [(1.0, 1.0)] * (reach + 1))
+
+
+def reported(factor: float = 0.6) -> Machine:
+    """State 1: a reporting verb was read."""
+    return _over(2, lambda k, s: (int(k or s == REPORT), factor if k and s in (INSULT, THREAT) else 1.0), [(1.0, 1.0)] * 2)
 
 
 def compose(a: Machine, b: Machine) -> Machine:
     """Both machines in step: states are pairs, factors multiply."""
-    width = 1 + max(s for s, _ in b[0])
-    arcs = {}
-    for (x, s), (p, f) in a[0].items():
-        for (y, t), (q, g) in b[0].items():
-            if s == t:
-                arcs[x * width + y, s] = (p * width + q, f * g)
-    return arcs, {x * width + y: f * g for x, f in a[1].items() for y, g in b[1].items()}
+    width = len(b[1])
+    arcs = {(x * width + y, s): (p * width + b[0][y, s][0], f * b[0][y, s][1]) for (x, s), (p, f) in a[0].items() for y in b[1]}
+    return arcs, {x * width + y: (f[0] * g[0], f[1] * g[1]) for x, f in a[1].items() for y, g in b[1].items()}
 
 
-GRAMMAR = compose(compose(negation(), reported()), compose(target(), threat()))
+MACHINES = [insult(), threat(), target(), negation(), reported()]
+GRAMMAR = functools.reduce(compose, MACHINES)
 
 
 class Symbols(dict):
@@ -98,10 +109,10 @@ class Symbols(dict):
             self.clear()
         word = EDGE.sub("", raw)
         found = max([self.lexicon.get(f, 0.0) for f in features_of(word)], default=0.0)
-        if found:
+        if word in THREATS:
+            out = (THREAT, found or 1.0)
+        elif found:
             out = (INSULT, found)
-        elif word in THREATS:
-            out = (THREAT, 1.0)
         else:
             out = None
         self[raw] = out
@@ -113,28 +124,40 @@ def features_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in PREFIXES if len(word) > k)] if word else []
 
 
-def clause_weight(words: Iterable[str], symbols: Symbols) -> float:
-    arcs, finals = GRAMMAR
-    state, total = 0, 0.0
+def symbol_of(raw: str, symbols: Symbols) -> tuple[int, float]:
+    """A word's symbol and weight."""
+    if hit := symbols[raw]:
+        return hit
+    word = EDGE.sub("", raw)
+    return TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTING else OTHER, 0.0
+
+
+def clause_weight(words: Iterable[str], symbols: Symbols, grammar: Machine = GRAMMAR) -> float:
+    arcs, finals = grammar
+    state, insults, threats = 0, 0.0, 0.0
     for raw in words:
-        hit = symbols[raw]
-        if hit:
-            symbol, weight = hit
-        else:
-            word = EDGE.sub("", raw)
-            symbol = TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTING else OTHER
-            weight = 0.0
+        symbol, weight = symbol_of(raw, symbols)
         state, factor = arcs[state, symbol]
-        total += weight * factor
-    return total * finals[state]
+        if symbol == INSULT:
+            insults += weight * factor
+        elif symbol == THREAT:
+            threats += weight * factor
+    return insults * finals[state][0] + threats * finals[state][1]
+
+
+def words_of(text: str) -> list[str]:
+    """A text's words in small letters, cut where clauses are."""
+    return CLAUSE.sub(" ", text.lower()).split()
 
 
 def text_weight(text: str | None, symbols: Symbols) -> tuple[float, int]:
-    """The sum of a text's matched clauses, and its words."""
-    words = (text or "").lower().split()
+    """The sum of a text's matched clauses, and its words. Clauses without an insult or threat weigh nothing and are not run."""
+    text = (text or "").lower()
+    words = words_of(text)
     if not any(map(symbols.__getitem__, words)):
         return 0.0, len(words)
-    return sum(clause_weight(c.split(), symbols) for c in CLAUSE.split((text or "").lower())), len(words)
+    clauses = (c.split() for c in CLAUSE.split(text))
+    return sum(clause_weight(c, symbols) for c in clauses if any(map(symbols.__getitem__, c))), len(words)
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -149,7 +172,7 @@ def learn(labelled: DataFrame) -> dict[str, float]:
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: tuple[Counter, Counter] = Counter(), Counter()
         for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = {EDGE.sub("", w) for w in set(text.lower().split())}
+            words = {EDGE.sub("", w) for w in set(words_of(text))}
             seen[int(toxic > 0)].update({f for w in words for f in features_of(w)})
         keys = [*{*seen[0], *seen[1]}]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)], ["feature", "other", "toxic"])

@@ -85,13 +85,13 @@ def ship(spark: SparkSession) -> None:
     _ship(spark.sparkContext.applicationId)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """fn over slices of at most BATCH_ROWS rows of every Arrow batch."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """fn over slices of at most so many rows of every Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                out = fn(batch.slice(at, BATCH_ROWS))
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     ship(df.sparkSession)

@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     texts = docs.select("doc_id", whole_text().alias("text"))
-    return map_batches(texts, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_batches(texts, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", tokens.ROWS)
 
 
 def best_fit(bins: Bins, fills: list[int], items: list[int], sizes: list[int], capacity: int) -> None:

@@ -2,8 +2,8 @@
 
 Byte-level BPE first cuts a text into words, and no merge crosses a cut. The last blank of a run of
 white space, before a character that is none, always begins a word. So a text is cut before such
-spaces and line ends, each distinct piece meets the tokenizer once for as long as the memo holds it,
-and a final full stop or comma after a letter or digit, a word of its own, is split off first. The
+spaces and line ends, the distinct pieces of some texts are found by Arrow, each of them meets the
+tokenizer once for as long as the memo holds it, and the texts' ids are gathered from theirs. A final full stop or comma after a letter or digit, a word of its own, is split off first. The
 ids equal those of one call over the whole text, which the tests hold against the tokenizer itself.
 """
 
@@ -14,6 +14,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces in either generation of the memo; at most twice as many are held.
 MEMO_PIECES = 450_000
@@ -23,6 +25,10 @@ SAFE = re.compile(r" (?=\S)")
 BLANK = re.compile(r"\s")
 #: Words given to the tokenizer as one string.
 JOINED = 500
+#: Characters of texts that are cut at once, unless one text has more.
+CHARACTERS = 6_000_000
+#: Rows of texts handed over at once: the more there are, the more of their pieces are equal.
+ROWS = 2048
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
@@ -37,14 +43,13 @@ class Memo:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys that neither generation has; those that the old one has become young again."""
+    def missing(self, keys: list[str]) -> list[str]:
+        """Of distinct keys those that neither generation has; those that the old one has become young again."""
         young, old = self.young, self.old
-        new = keys.difference(young)
+        new = [k for k in keys if k not in young]
         again = [k for k in new if k in old]
         young.update(zip(again, map(old.__getitem__, again), strict=True))
-        new.difference_update(again)
-        return list(new)
+        return [k for k in new if k not in old] if again else new
 
     def trim(self) -> None:
         if len(self.young) > self.size:
@@ -95,32 +100,75 @@ class Encoder:
         rest = [(k, t) for k, t in zip(pieces, texts, strict=True) if k not in young]
         young.update(zip([k for k, _ in rest], self._ids([t for _, t in rest]), strict=True))
 
-    def _cut(self, text: str) -> list[str]:
-        """Pieces; one that begins with a line end is whole, any other lacks the space before it, as does the first if there was none."""
-        return SAFE.split(text) if UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        # a first piece is met as if after a line end, whose id is taken off again; unless it begins with a blank
-        odd = {c[0] for c in cut if BLANK.match(c[0])}
-        need = {"\n" + c[0] for c in cut if c[0] and c[0] not in odd}
-        for c in cut:
-            need.update(c[1:])
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of all texts and where each text's begin; one that begins with a line end is whole, any other lacks the space before it, as does a text's first if there was none."""
+        careful = [UNSAFE.search(t) is not None for t in texts]
+        plain = pa.array([t for t, c in zip(texts, careful, strict=True) if not c], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        cut = [SAFE.split(t) for t, c in zip(texts, careful, strict=True) if c]
+        if not cut:
+            return lists.flatten(), lists.offsets.to_numpy()
+        pieces = pa.concat_arrays([lists.flatten(), pa.array([p for c in cut for p in c], pa.large_string())])
+        sizes = np.concatenate([np.diff(lists.offsets.to_numpy()), [len(c) for c in cut]]).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        place = np.argsort(np.argsort(careful, kind="stable"), kind="stable")  # of each text among the plain and then the careful ones
+        begins, sizes = first[place], sizes[place]
+        ends = np.cumsum(sizes)
+        return pieces.take(pa.array(np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1]))), np.concatenate([[0], ends])
+
+    def _pieces(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
         memo, tails = self.memo, self.tails
-        if new := memo.missing(need):
+        if new := memo.missing(keys):
             marked = [k for k in new if k[-1] in tails and k[-2:-1].isalnum() and not BLANK.search(k, 1)]
             cores = {k[:-1] for k in marked}
-            learn = memo.missing(cores)
+            learn = memo.missing(list(cores))
             learn += [k for k in set(new).difference(marked) if k not in cores]
             self._learn(learn)
             young = memo.young
             young.update({k: young[k[:-1]] + tails[k[-1]] for k in marked})
-        young = memo.young
-        first = {"": b"", **dict(zip(odd, self._ids(list(odd)), strict=True))}
-        heads = [first[c[0]] if c[0] in first else young["\n" + c[0]][2:] for c in cut]
-        out = [h + b"".join(map(young.__getitem__, c[1:])) for h, c in zip(heads, cut, strict=True)]
-        memo.trim()
-        return out
+        return list(map(memo.young.__getitem__, keys))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        pieces, begins = self._cut(texts)
+        coded = pieces.dictionary_encode()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        first = begins[:-1]
+        heads = [distinct[k] for k in at[first].tolist()]
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        used = np.zeros(len(distinct), bool)
+        used[at[inner]] = True
+        ids = [b""] * len(distinct)
+        rows = np.flatnonzero(used).tolist()
+        # a first piece is met as if after a line end, whose id is taken off again; unless it begins with a blank
+        odd = sorted({h for h in heads if BLANK.match(h)})
+        lines = sorted({"\n" + h for h in heads} - {"\n"} - {"\n" + h for h in odd})
+        words = [distinct[k] for k in rows]
+        known = dict(zip((every := list(dict.fromkeys([*words, *lines]))), self._pieces(every), strict=True))
+        for k, w in zip(rows, words, strict=True):
+            ids[k] = known[w]
+        begun = {"": b"", **dict(zip(odd, self._ids(odd), strict=True)), **{k[1:]: known[k][2:] for k in lines}}
+        ids += [begun[h] for h in heads]
+        at[first] = len(distinct) + np.arange(len(heads))
+        # every piece's ids, one after another
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        start = np.cumsum(size) - size
+        ends = np.cumsum(size[at])
+        gathered = np.frombuffer(b"".join(ids), "<u2")[np.repeat(start[at] - ends + size[at], size[at]) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[begins].tolist()
+        self.memo.trim()
+        return [gathered[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, some, size = [], [], 0
+        for t in texts:
+            if some and size + len(t) > CHARACTERS:
+                out += self._encode(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        return out + self._encode(some) if some else out
 
 
 @functools.cache

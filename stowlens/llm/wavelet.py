@@ -40,6 +40,8 @@ END_ID = 0
 #: Tokens after which a shard is closed; the document that crosses the mark stays whole.
 SHARD_TOKENS = 1 << 23
 BLOCK_BITS = 1 << 15
+#: Blocks of a level that a reader keeps unpacked; those of a whole shard by default, 34 MB.
+CACHED = SHARD_TOKENS // BLOCK_BITS
 _HEAD = "<4s6IQ"
 
 
@@ -64,9 +66,9 @@ def dump(doc_ids: list[int | None], parts: list[bytes]) -> bytes:
     press = zstandard.ZstdCompressor(level=1)
     ones, sizes, blocks = [], [], []
     for plane in planes:
-        cuts = [plane[at : at + BLOCK_BITS // 8] for at in range(0, len(plane), BLOCK_BITS // 8)]
-        ones.append(np.cumsum([0, *(int(np.bitwise_count(c).sum()) for c in cuts)]))
-        packed = [press.compress(c.tobytes()) for c in cuts]
+        at = np.arange(0, len(plane), BLOCK_BITS // 8)
+        ones.append(np.cumsum([0, *(np.add.reduceat(np.bitwise_count(plane), at, dtype=np.int64) if len(at) else ())]))
+        packed = [press.compress(plane[k : k + BLOCK_BITS // 8]) for k in at.tolist()]
         sizes.append([len(b) for b in packed])
         blocks += packed
     directory = press.compress(b"".join(np.array(x, "<u8").tobytes() for x in (zeros, ones, sizes)))
@@ -91,7 +93,7 @@ class Shard:
         sizes = numbers[BITS + BITS * (blocks + 1) :]
         self.places = (self.table_at + table + np.cumsum(np.concatenate([[0], sizes]))).tolist()
         self.table = table
-        self._block = functools.lru_cache(maxsize=4 * BITS)(self._load)
+        self._block = functools.lru_cache(maxsize=BITS * CACHED)(self._load)
 
     def _read(self, at: int, size: int) -> bytes:
         self.file.seek(at)
@@ -118,17 +120,21 @@ class Shard:
 
     def rank(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a level before each position, 0 to n."""
-        out = np.empty(len(at), np.int64)
         block = at // BLOCK_BITS
-        for b in np.unique(block).tolist():
-            here = block == b
+        if not len(at):
+            return np.zeros(0, np.int64)
+        order = np.argsort(block, kind="stable")
+        found, first = np.unique(block[order], return_index=True)
+        out = np.empty(len(at), np.int64)
+        for b, here in zip(found.tolist(), np.split(order, first[1:]), strict=True):
             if b == self.ones_before.shape[1] - 1:
                 out[here] = self.ones_before[level, b]
                 continue
             words, before = self._block(level, b)
             place = at[here] - b * BLOCK_BITS
+            word = place >> 6
             rest = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-            out[here] = before[place >> 6] + np.bitwise_count(words[place >> 6] & rest)
+            out[here] = before[word] + np.bitwise_count(words[word] & rest)
         return out
 
     def access(self, at: np.ndarray | int) -> np.ndarray | int:
@@ -139,8 +145,8 @@ class Shard:
             raise IndexError(at)
         out = np.zeros(len(at), np.int64)
         for level in range(BITS):
-            ones = self.rank(level, at)
-            bit = self.rank(level, at + 1) - ones
+            ones, after = np.split(self.rank(level, np.concatenate([at, at + 1])), 2)
+            bit = after - ones
             out = out << 1 | bit
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
         return int(out[0]) if one else out
@@ -191,8 +197,9 @@ class Shard:
         """All ids: the partings undone from the last level up."""
         a = np.zeros(self.n, np.uint16)
         for level in reversed(range(BITS)):
-            plane = np.frombuffer(b"".join(self._bytes(level, b) for b in range(self.ones_before.shape[1] - 1)), np.uint8)
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            words = [self._block(level, b)[0][:-1] for b in range(self.ones_before.shape[1] - 1)]
+            plane = np.concatenate([np.zeros(0, "<u8"), *words])
+            bit = np.unpackbits(plane.view(np.uint8), count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             up = np.empty(self.n, np.uint16)
             up[bit] = a[z:] | np.uint16(1 << (BITS - 1 - level))
@@ -210,7 +217,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
         hashes = np.array([xxhash.xxh3_64_intdigest(c) for c in coded], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.array(hashes)], ["doc_id", "ids", "h"])
 
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), run, "doc_id bigint, ids binary, h bigint")
+    return map_batches(docs.select("doc_id", whole_text().alias("text")), run, "doc_id bigint, ids binary, h bigint", tokens.ROWS)
 
 
 def shards(docs: DataFrame, vocabulary: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -26,7 +26,7 @@ BLANK = re.compile(r"\s")
 #: Words given to the tokenizer as one string.
 JOINED = 500
 #: Characters of texts that are cut at once, unless one text has more.
-CHARACTERS = 6_000_000
+CHARACTERS = 8_000_000
 #: Rows of texts handed over at once: the more there are, the more of their pieces are equal.
 ROWS = 2048
 

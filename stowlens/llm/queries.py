@@ -23,7 +23,7 @@ def domains(labels: DataFrame) -> DataFrame:
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digest(audio.audio_features(table(spark, sf_dir, "documents")))
+    return audio.digest(audio.store(table(spark, sf_dir, "documents")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

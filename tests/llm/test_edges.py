@@ -27,7 +27,7 @@ def domains(spark):
 
 
 OPERATORS = {
-    "audio": lambda s, d: audio.digest(audio.audio_features(d)),
+    "audio": lambda s, d: audio.digest(audio.store(d)),
     "quality_model": lambda s, d: quality_model.classify(d, quality_model.fit(d.select("doc_id", "text"))),
     "pii": lambda s, d: pii.replace_entities(d, b"k"),
     "near_dup": lambda s, d: near_dup.near_duplicates(d),

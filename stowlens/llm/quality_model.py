@@ -1,10 +1,12 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers each look for one defect and vote bad or abstain on every document. Their
-votes make patterns, of which there are at most 2 ** len(LABELLERS); from the counts of the patterns
-over all documents expectation-maximisation estimates how often each labeller votes bad on bad and
-on good documents, its accuracy, and so the posterior of every pattern. The posteriors of a bounded sample train a linear scorer on
-hashed byte trigrams, and the scorer's probability decides.
+Heuristic labellers look for one defect or one merit each, and vote on every document that is long
+enough for them, else abstain. Their votes make patterns, of which there are at most 3 ** len(LABELLERS);
+from the counts of the patterns over all documents expectation-maximisation estimates how often each labeller
+votes on bad and on good documents, its accuracies, and so the posterior of every pattern. Votes for merit
+and for defects together settle which class is which, so the prior on accuracies may be weak. The posteriors
+of a bounded sample, drawn by a hash of id and text, train a linear scorer on hashed byte trigrams, and the
+scorer's probability decides. What the driver gets of the sample are DIMENSIONS + 1 counts a document, not its text.
 
 Defined results: a null or empty text meets labellers as an empty text and scores as one; equal
 texts score equally; repeated rows are kept; further columns pass through, those named like a
@@ -28,8 +30,8 @@ DIMENSIONS = 1024
 EM_ROUNDS, STEPS, RATE, DECAY = 50, 150, 0.05, 1e-4
 #: A document stays if its probability of being good reaches this.
 THRESHOLD = 0.25
-#: Prior of bad votes on good documents, and its weight against all documents.
-FALSE_VOTES, PRIOR = 0.001, 2.0
+#: Prior of votes against a document's class, and its weight as a share of all documents.
+FALSE_VOTES, PRIOR = 0.001, 0.02
 #: Added to a text's number of features, so that a few of them say little.
 SHRINK = 64
 
@@ -37,74 +39,92 @@ _SYMBOLS = [ord(c) for c in "#*$%&|<>{}[]\\^~=_"]
 _ENDS = [ord(c) for c in ".!?"]
 
 
-def _symbols(c: np.ndarray, words: list[str], text: str) -> bool:
-    return c[_SYMBOLS].sum() >= 0.2 * len(words) > 1
+#: Words that a text must have for most labellers to vote.
+SHORT, LONG = 8, 60
+Vote = bool | None
 
 
-def _capitals(c: np.ndarray, words: list[str], text: str) -> bool:
-    return len(words) >= 8 and c[65:91].sum() > c[97:123].sum()
+def _symbols(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return c[_SYMBOLS].sum() >= 0.2 * len(words) if len(words) > 1 else None
 
 
-def _shouting(c: np.ndarray, words: list[str], text: str) -> bool:
-    return len(words) >= 8 and c[33] >= 0.25 * len(words)
+def _capitals(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return c[65:91].sum() > c[97:123].sum() if len(words) >= SHORT else None
 
 
-def _stutter(c: np.ndarray, words: list[str], text: str) -> bool:
-    return len(words) >= 8 and sum(map(operator.eq, words, words[1:])) >= 0.2 * len(words)
+def _shouting(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return c[33] >= 0.25 * len(words) if len(words) >= SHORT else None
 
 
-def _sentences(c: np.ndarray, words: list[str], text: str) -> bool:
-    return len(words) >= 60 and c[_ENDS].sum() <= 0.004 * len(words)
+def _stutter(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return sum(map(operator.eq, words, words[1:])) >= 0.2 * len(words) if len(words) >= SHORT else None
 
 
-def _cells(c: np.ndarray, words: list[str], text: str) -> bool:
-    return len(words) >= 8 and c[124] >= 0.2 * len(words)
+def _sentences(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return c[_ENDS].sum() <= 0.004 * len(words) if len(words) >= LONG else None
 
 
-def _word_length(c: np.ndarray, words: list[str], text: str) -> bool:
-    return len(words) >= 8 and abs((len(text) - len(words)) / len(words) - 5.5) >= 4.5
+def _cells(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return c[124] >= 0.2 * len(words) if len(words) >= SHORT else None
 
 
-#: Each votes that a document is bad, or abstains.
-LABELLERS = [_symbols, _capitals, _shouting, _stutter, _sentences, _cells, _word_length]
+def _word_length(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return abs((len(text) - len(words)) / len(words) - 5.5) >= 4.5 if len(words) >= SHORT else None
+
+
+def _prose(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return len(words) / 40 <= c[_ENDS].sum() <= len(words) / 3 and c[_SYMBOLS].sum() <= 0.02 * len(words) if len(words) >= 20 else None
+
+
+def _variety(c: np.ndarray, words: list[str], text: str) -> Vote:
+    return len(set(words)) >= 0.4 * len(words) ** 0.93 and c[97:123].sum() + c[128:].sum() >= 0.7 * c.sum() if len(words) >= SHORT else None
+
+
+#: Each votes that a document is bad (first those), or good, or doesn't, or abstains (None).
+DEFECTS = [_symbols, _capitals, _shouting, _stutter, _sentences, _cells, _word_length]
+MERITS = [_prose, _variety]
+LABELLERS = [*DEFECTS, *MERITS]
 
 
 def pattern(text: str) -> int:
-    """The labellers' votes as one number to base 2."""
+    """The labellers' votes as one number to base 3: 0 no vote, 1 a vote, 2 abstains."""
     counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     words, out = text.split(), 0
-    for vote in LABELLERS:
-        out = out * 2 + bool(vote(counts, words, text))
+    for labeller in LABELLERS:
+        vote = labeller(counts, words, text)
+        out = out * 3 + (2 if vote is None else int(vote))
     return out
 
 
 def votes_of(code: int) -> list[int]:
     out = []
     for _ in LABELLERS:
-        code, v = divmod(code, 2)
+        code, v = divmod(code, 3)
         out.append(v)
     return out[::-1]
 
 
 def em(patterns: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of good for each pattern, and each labeller's rate of bad votes [class, labeller], bad class first.
+    """Posterior of good for each pattern, and each labeller's rate of votes [class, labeller], bad class first.
 
-    It starts from a bad posterior wherever a labeller votes. Labellers are taken as independent given
-    the class, and a vote against a good document as rare beforehand (FALSE_VOTES, with the weight of a
-    share PRIOR of the documents), without which the classes could take any other meaning.
+    It starts from a bad posterior wherever a defect is seen. Labellers are taken as independent given
+    the class; those that abstain say nothing. A vote for a defect on a good document, or for a merit on a bad
+    one, is held rare beforehand (FALSE_VOTES, with the weight of a share PRIOR of the documents).
     """
     codes = sorted(patterns)
-    votes = np.array([votes_of(c) for c in codes], float)
+    digits = np.array([votes_of(c) for c in codes])
+    votes, there = (digits == 1).astype(float), (digits < 2).astype(float)
     n = np.array([patterns[c] for c in codes], float)
-    post = np.where(votes.any(axis=1), 0.1, 0.95)
+    defect = np.arange(len(LABELLERS)) < len(DEFECTS)
+    weight = PRIOR * n.sum()
+    post = np.where(votes[:, defect].any(axis=1), 0.1, 0.95)
     rates = np.zeros((2, len(LABELLERS)))
     for _ in range(rounds):
-        bad, good = n * (1 - post), n * post
-        rates[0] = (bad @ votes + 1) / (bad.sum() + 2)
-        rates[1] = (good @ votes + PRIOR * n.sum() * FALSE_VOTES) / (good.sum() + PRIOR * n.sum())
+        for k, (share, against) in enumerate(((n * (1 - post), ~defect), (n * post, defect))):
+            rates[k] = (share @ votes + np.where(against, weight * FALSE_VOTES, 0.5)) / (share @ there + np.where(against, weight, 1))
         rates = rates.clip(1e-6, 1 - 1e-6)
-        share = min(0.98, max(0.02, good.sum() / n.sum()))
-        logs = votes @ np.log(rates).T + (1 - votes) @ np.log(1 - rates).T + np.log([1 - share, share])
+        share = min(0.98, max(0.02, (n * post).sum() / n.sum()))
+        logs = votes @ np.log(rates).T + (there - votes) @ np.log(1 - rates).T + np.log([1 - share, share])
         post = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
     return dict(zip(codes, post.tolist(), strict=True)), rates
 
@@ -120,12 +140,14 @@ def trigrams(text: str) -> np.ndarray:
     return np.concatenate([h, np.full(6 * again, DIMENSIONS, np.uint32)]) if again else h
 
 
-def train(texts: list[str], posteriors: list[float]) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer of mean trigram weight, by Adam on soft labels; classes weigh the same."""
-    x = np.zeros((len(texts), DIMENSIONS + 1), np.float32)
-    for i, t in enumerate(texts):
-        h = trigrams(t)
-        x[i] = np.bincount(h, minlength=DIMENSIONS + 1) * (100 / (len(h) + SHRINK))
+def slots(text: str) -> np.ndarray:
+    """The mean weight of each slot in a text's score, times 100."""
+    h = trigrams(text)
+    return (np.bincount(h, minlength=DIMENSIONS + 1) * (100 / (len(h) + SHRINK))).astype(np.float32)
+
+
+def train(x: np.ndarray, posteriors: list[float]) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer of texts' slots, by Adam on soft labels; classes weigh the same."""
     y = np.array(posteriors, np.float32)
     good = max(1e-3, float(y.mean()))
     weight = y / good + (1 - y) / max(1e-3, 1 - good)
@@ -160,12 +182,17 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     if not patterns:
         return {"posteriors": {}, "w": np.zeros(DIMENSIONS + 1, np.float32), "b": 0.0}
     posteriors, rates = em(patterns)
-    total = sum(patterns.values())
-    share = min(1 << 30, max(1, int(1.05 * rows / total * (1 << 30))))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id", "text").limit(rows).collect()
-    drawn = sorted(drawn, key=lambda r: (r.doc_id is None, r.doc_id, r.text or ""))
-    sample = [r.text or "" for r in drawn] or [""]
-    w, b = train(sample, [posteriors.get(pattern(t), 0.5) for t in sample])
+    # a deterministic sample: the least hashes, of those below a bound that lets about enough pass
+    share = min(1 << 30, max(1, int(1.5 * rows / sum(patterns.values()) * (1 << 30))))
+    drawn = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.pmod("h", F.lit(1 << 30)) < share).orderBy("h", "text").limit(rows)
+
+    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([pattern(t) for t in texts], pa.int32()), pa.array([slots(t).tobytes() for t in texts], pa.binary())], ["h", "code", "x"])
+
+    sample = sorted(map(tuple, map_batches(drawn, features, "h bigint, code int, x binary").collect()))
+    x = np.array([np.frombuffer(r[2], np.float32) for r in sample]).reshape(-1, DIMENSIONS + 1)
+    w, b = train(x, [posteriors.get(r[1], 0.5) for r in sample])
     return {"posteriors": posteriors, "rates": rates, "w": w, "b": b}
 
 

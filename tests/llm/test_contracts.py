@@ -174,6 +174,22 @@ def test_op7_order_of_rules():
     assert quality_rules.ordered({"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (1.0, 0.9), "d": (1.0, 0.0)}) == ["b", "c", "a", "d"]
 
 
+def test_op7_costs_are_those_of_the_rules(spark):
+    docs = table(spark, DIR, "documents").select("doc_id", "text")
+    rules = {"cheap": "n_words < 0", "dear": "size(array_distinct(transform(split(coalesce(text, ''), ''), c -> md5(c)))) < 0", "some": "n_words < 50"}
+    costs = quality_rules.measure(docs, rules, 100, 20)
+    assert costs["dear"][0] > 20 * costs["cheap"][0] and costs["dear"][1] == costs["cheap"][1] == 0
+    assert costs["some"][1] == quality_rules.sampled(docs, 100).where("n_words < 50").count() / 100
+    assert quality_rules.ordered(costs)[0] == "some"
+
+
+def test_op7_sample_is_drawn_by_hash(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', int(id % 90)) as text")
+    one, two = (sorted(r.text for r in quality_rules.sampled(docs.repartition(n), 200).collect()) for n in (2, 5))
+    assert one == two and len(one) == 200 and len(set(one)) > 60
+    assert quality_rules.sampled(docs.limit(0)).count() == 0
+
+
 def test_op8_totals_meet_targets(spark):
     docs, labels = table(spark, LARGER, "documents").select("doc_id", "text"), queries.domains(table(spark, LARGER, "labels"))
     mixed, model = mixing.mix(docs, labels, queries.MIX_WEIGHTS)

@@ -86,19 +86,17 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Pieces into the memo; those of letters and digits are encoded together and cut at their blanks."""
         young = self.memo.young
-        texts = [k if k[0] == "\n" else " " + k for k in pieces]
-        plain = [(k, t) for k, t in zip(pieces, texts, strict=True) if t[1:].isalnum()]
-        for at in range(0, len(plain), JOINED):
-            keys, words = zip(*plain[at : at + JOINED], strict=True)
-            ids = self._ids(["".join(words)])[0]
-            cuts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u2")]) * 2
-            if len(cuts) != len(keys):
-                young.update(zip(keys, self._ids(list(words)), strict=True))
-                continue
-            cuts = [*cuts.tolist(), len(ids)]
-            young.update(zip(keys, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
-        rest = [(k, t) for k, t in zip(pieces, texts, strict=True) if k not in young]
-        young.update(zip([k for k, _ in rest], self._ids([t for _, t in rest]), strict=True))
+        words = [k for k in pieces if k.isalnum()]
+        lines = [k for k in pieces if k[0] == "\n" and k[1:].isalnum()]
+        parts = [(words[at : at + JOINED], " ") for at in range(0, len(words), JOINED)] + [(lines[at : at + JOINED], "") for at in range(0, len(lines), JOINED)]
+        for (keys, before), ids in zip(parts, self._ids([b + b.join(k) for k, b in parts]), strict=True):
+            cuts = (np.flatnonzero(self.opens[np.frombuffer(ids, "<u2")]) * 2).tolist()
+            if len(cuts) == len(keys):
+                young.update(zip(keys, map(ids.__getitem__, map(slice, cuts, [*cuts[1:], len(ids)])), strict=True))
+            else:
+                young.update(zip(keys, self._ids([before + k for k in keys]), strict=True))
+        rest = [k for k in pieces if k not in young]
+        young.update(zip(rest, self._ids([k if k[0] == "\n" else " " + k for k in rest]), strict=True))
 
     def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """Pieces of all texts and where each text's begin; one that begins with a line end is whole, any other lacks the space before it, as does a text's first if there was none."""
@@ -132,30 +130,30 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         pieces, begins = self._cut(texts)
         coded = pieces.dictionary_encode()
-        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         first = begins[:-1]
-        heads = [distinct[k] for k in at[first].tolist()]
+        heads = distinct.take(pa.array(at[first])).to_pylist()
         inner = np.ones(len(at), bool)
         inner[first] = False
         used = np.zeros(len(distinct), bool)
         used[at[inner]] = True
-        ids = [b""] * len(distinct)
-        rows = np.flatnonzero(used).tolist()
+        words = distinct.filter(pa.array(used)).to_pylist()
         # a first piece is met as if after a line end, whose id is taken off again; unless it begins with a blank
         odd = sorted({h for h in heads if BLANK.match(h)})
-        lines = sorted({"\n" + h for h in heads} - {"\n"} - {"\n" + h for h in odd})
-        words = [distinct[k] for k in rows]
-        known = dict(zip((every := list(dict.fromkeys([*words, *lines]))), self._pieces(every), strict=True))
-        for k, w in zip(rows, words, strict=True):
-            ids[k] = known[w]
-        begun = {"": b"", **dict(zip(odd, self._ids(odd), strict=True)), **{k[1:]: known[k][2:] for k in lines}}
-        ids += [begun[h] for h in heads]
-        at[first] = len(distinct) + np.arange(len(heads))
+        lines = sorted({h for h in heads} - {"", *odd})
+        ids = self._pieces(words + ["\n" + h for h in lines])
+        begun = {"": b"", **dict(zip(odd, self._ids(odd), strict=True)), **{h: k[2:] for h, k in zip(lines, ids[len(words) :], strict=True)}}
+        ids[len(words) :] = [begun[h] for h in heads]
+        # where each distinct piece's ids stand, and a first piece's
+        place = np.cumsum(used) - 1
+        place = place[at]
+        place[first] = len(words) + np.arange(len(heads))
         # every piece's ids, one after another
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        start = np.cumsum(size) - size
-        ends = np.cumsum(size[at])
-        gathered = np.frombuffer(b"".join(ids), "<u2")[np.repeat(start[at] - ends + size[at], size[at]) + np.arange(ends[-1])]
+        start = (np.cumsum(size) - size)[place]
+        size = size[place]
+        ends = np.cumsum(size)
+        gathered = np.frombuffer(b"".join(ids), "<u2")[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], ends])[begins].tolist()
         self.memo.trim()
         return [gathered[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowlens.functions.scalars import chain, ratio
+from stowlens.operators import ordered
+from stowlens.operators.classify import consistency
 
 #: Size buckets, half-open (fixed values).
 BUCKETS = [("0-1KB", 0), ("1KB-10KB", 1 << 10), ("10KB-100KB", 10 << 10), ("100KB-1MB", 100 << 10), ("1MB-10MB", 1 << 20), ("10MB-50MB", 10 << 20),
@@ -99,19 +101,19 @@ def anomalies(log: DataFrame, sigmas: float = 3.0, error_rate: float = 0.1) -> D
 
 def index_percentiles(samples: DataFrame, value: str, ps: dict[str, float], by: list[str]) -> DataFrame:
     """The value at zero-based rank floor(n * p) of each sorted group."""
-    w = Window.partitionBy(*by)
-    ranked = samples.withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = {k: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value))).alias(k) for k, p in ps.items()}
-    return ranked.groupBy(*by).agg(*at.values())
+    return ordered.values_at_ranks(samples, value, by, {k: lambda n, p=p: F.least(F.floor(n * p), n - 1) for k, p in ps.items()})
 
 
 def latency_stats(samples: DataFrame, by: list[str]) -> DataFrame:
     """Over latency_ms and success: counts, mean, min, max, population stddev, median of the middle pair, p90 to p99.9."""
     x = F.when(F.col("success"), F.col("latency_ms"))
     basic = samples.groupBy(*by).agg(F.count("*").alias("n"), F.count(x).alias("n_ok"), F.sum((~F.col("success")).cast("long")).alias("n_failed"), F.round(F.avg(x), 6).alias("mean_ms"), F.min(x).alias("min_ms"),
-                                     F.max(x).alias("max_ms"), F.round(F.stddev_pop(x), 6).alias("stddev_ms"), F.round(F.percentile(x, 0.5), 6).alias("median_ms"))
-    ranks = index_percentiles(samples.where("success"), "latency_ms", {"p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99, "p999_ms": 0.999}, by)
-    return basic.join(ranks, by, "left")
+                                     F.max(x).alias("max_ms"), F.round(F.stddev_pop(x), 6).alias("stddev_ms"))
+    at = {k: lambda n, p=p: F.least(F.floor(n * p), n - 1) for k, p in {"p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99, "p999_ms": 0.999}.items()}
+    at |= {"low_": lambda n: F.floor((n - 1) / 2), "high_": lambda n: F.ceil((n - 1) / 2)}
+    ranks = ordered.values_at_ranks(samples.where("success"), "latency_ms", by, at)
+    median = F.round(F.col("low_") + (F.col("high_") - F.col("low_")) * 0.5, 6).alias("median_ms")
+    return basic.join(ranks.select(*by, median, "p90_ms", "p95_ms", "p99_ms", "p999_ms"), by, "left")
 
 
 def slope(history: DataFrame, day: str, used: str, by: list[str]) -> DataFrame:
@@ -140,24 +142,6 @@ def retained(snapshots: DataFrame, keep_count: int, keep_days: int, now: Column,
     return snapshots.withColumn("rank", F.row_number().over(w)).withColumn("drop", (F.col("rank") > keep_count) | (F.datediff(now, F.col("ts")) > keep_days))
 
 
-def moving_average(samples: DataFrame, by: list[str], last: int = 1000) -> DataFrame:
-    """Mean latency of the last successful samples, and failures in a row so far."""
-    w = Window.partitionBy(*by).orderBy("ts", "id")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.col("success").cast("int")
-    out = samples.withColumn("ok_no", F.sum(ok).over(run))
-    recent = Window.partitionBy(*by).orderBy("ok_no").rangeBetween(-(last - 1), 0)
-    out = out.withColumn("moving_ms", F.avg(F.when(F.col("success"), F.col("latency_ms"))).over(recent))
-    return out.withColumn("failures_in_row", F.sum(1 - ok).over(Window.partitionBy(*by, "ok_no").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))).drop("ok_no")
-
-
-def rates(series: DataFrame, by: list[str], seconds: int) -> DataFrame:
-    """Increase of a counter a second in windows of `seconds`, a fall counting as a reset."""
-    w = Window.partitionBy(*by).orderBy("ts", "id")
-    step = F.when(F.col("counter") >= F.lag("counter").over(w), F.col("counter") - F.lag("counter").over(w)).when(F.lag("counter").over(w).isNotNull(), F.col("counter")).otherwise(0)
-    return series.withColumn("step", step).groupBy(*by, (F.floor(F.unix_timestamp("ts") / seconds) * seconds).alias("window_start")).agg((F.sum("step") / seconds).alias("per_second"))
-
-
 def config_diff(one: DataFrame, two: DataFrame, ignore_space: bool = False) -> DataFrame:
     """(key, value, line) of two files: key, both values and ADDED, REMOVED, MODIFIED or UNCHANGED; the first of equal keys counts."""
     def first(df: DataFrame, name: str) -> DataFrame:
@@ -190,18 +174,19 @@ def min_free(servers: DataFrame) -> DataFrame:
 
 
 def replicas_checked(replicas: DataFrame) -> DataFrame:
-    """By file over (file_id, server_id, present, size, crc, create_ts): against the first present replica."""
-    first = F.min_by(F.struct("size", "crc", "create_ts"), F.when(F.col("present"), F.col("server_id")))
-    ref = replicas.groupBy("file_id").agg(first.alias("ref"))
-    joined = replicas.join(ref, "file_id")
-    here = F.col("present")
-    out = joined.groupBy("file_id").agg(
-        F.bool_or(~here).alias("missing"), F.bool_or(here & (F.col("crc") != F.col("ref.crc"))).alias("crc_differs"), F.bool_or(here & (F.col("size") != F.col("ref.size"))).alias("size_differs"),
-        F.max(F.when(here, F.abs(F.col("create_ts") - F.col("ref.create_ts")))).alias("lag"),
-    )
-    from stowlens.operators.classify import consistency
+    """By file over (file_id, server_id, present, size, crc, create_ts): against the first present replica.
 
-    return out.select("file_id", consistency(F.col("missing"), F.col("crc_differs"), F.col("size_differs")).alias("status"), "lag")
+    One of the present replicas differs from the first if and only if they are not all the same, so one
+    aggregation says all.
+    """
+    here = lambda name: F.when(F.col("present"), F.col(name))
+    out = replicas.groupBy("file_id").agg(
+        F.bool_or(~F.col("present")).alias("missing"), F.min(here("crc")).alias("crc_lo"), F.max(here("crc")).alias("crc_hi"), F.min(here("size")).alias("size_lo"), F.max(here("size")).alias("size_hi"),
+        F.min(here("create_ts")).alias("ts_lo"), F.max(here("create_ts")).alias("ts_hi"), F.min_by("create_ts", here("server_id")).alias("ts"),
+    )
+    differs = lambda k: F.coalesce(F.col(f"{k}_lo") < F.col(f"{k}_hi"), F.lit(False))
+    lag = F.greatest(F.col("ts_hi") - F.col("ts"), F.col("ts") - F.col("ts_lo"))
+    return out.select("file_id", consistency(F.col("missing"), differs("crc"), differs("size")).alias("status"), F.when(F.col("ts_lo").isNotNull(), lag).alias("lag"))
 
 
 def live_blocks(log: DataFrame, key: list[str]) -> DataFrame:
@@ -287,3 +272,15 @@ def suppressed(alerts: DataFrame, cooldown: int) -> DataFrame:
             yield batch.take(pa.array(sent, pa.int64()))
 
     return ordered.mapInArrow(fold, ordered.schema)
+
+
+def rebuilt_log(old: DataFrame, appended: DataFrame, key: list[str]) -> DataFrame:
+    """The first record (line_no) of each key of one log, then the records of another one, with their source."""
+    first = old.groupBy(*key).agg(F.min("line_no").alias("line_no")).withColumn("source", F.lit("first"))
+    return first.unionByName(appended.select(*key, "line_no", F.lit("appended").alias("source")))
+
+
+def status_changes(log: DataFrame, key: list[str]) -> DataFrame:
+    """Entries (ts, line_no, status) of a log that differ from the key's entry before, with that one's status."""
+    before = F.lag("status").over(Window.partitionBy(*key).orderBy("ts", "line_no"))
+    return log.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("status"))).select("ts", "line_no", *key, "before", "status")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stowlens.functions import scalars as S
 from stowlens.operators import classify as C
+from stowlens.operators import ordered as W
 from stowlens.operators import predicates as P
 from stowlens.operators import reports as R
 from stowlens.plans import bindings as B
@@ -521,12 +522,10 @@ _HIST = "with h as (select o_orderpriority as group_name, datediff('day', date '
 
 
 def _growth(s, d):
-    from pyspark.sql import Window
-
-    o = s.read.parquet(f"{d}/orders.parquet")
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    h = o.select(c("o_orderpriority").alias("group_name"), F.datediff(c("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("day"), F.sum(F.floor("o_totalprice")).over(w).cast("double").alias("used"))
-    return R.slope(h, "day", "used", ["group_name"]).join(h.groupBy("group_name").agg(F.max("used").alias("used")), "group_name")
+    o = s.read.parquet(f"{d}/orders.parquet").select(c("o_orderpriority").alias("group_name"), "o_orderdate", "o_orderkey", F.floor("o_totalprice").alias("bytes"))
+    h = W.running_sum(o, ["group_name"], F.date_trunc("month", c("o_orderdate")), ["o_orderdate", "o_orderkey"], c("bytes"), "used")
+    h = h.select("group_name", F.datediff(c("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("day"), c("used").cast("double").alias("used"))
+    return h.groupBy("group_name").agg(F.count("*").alias("n"), F.coalesce(F.regr_slope("used", "day"), F.lit(0.0)).alias("per_day"), F.max("used").alias("used"))
 
 
 _HIST = _HIST.replace("order by o_orderdate, o_orderkey) as double", "order by o_orderdate, o_orderkey rows unbounded preceding) as double")
@@ -563,7 +562,7 @@ def c15(s, d):
 
 @query("W4_C16_network", "with o as (select *, sum(cast(success as int)) over (partition by operation order by ts, id) as k from samples), w as (select *, avg(latency_ms) filter (success) over (partition by operation order by k range between 999 preceding and current row) as m, sum(1 - cast(success as int)) over (partition by operation, k order by ts, id) as f from o) select id, round(m + 0.0000001, 3) as moving_ms, cast(f as bigint) as failures_in_row, case when f >= 3 then 'DOWN' when m >= 500 then 'CRITICAL' when m >= 100 then 'WARNING' else 'OK' end as state from w")
 def w4(s, d):
-    m = R.moving_average(B.samples(s, d), ["operation"])
+    m = W.moving_average(B.samples(s, d), ["operation"], F.date_trunc("hour", c("ts")))
     return m.select("id", F.round(c("moving_ms") + 1e-7, 3).alias("moving_ms"), c("failures_in_row").cast("long").alias("failures_in_row"), C.network(c("failures_in_row"), F.lit(0), c("moving_ms")).alias("state"))
 
 
@@ -612,7 +611,7 @@ def w5(s, d):
 @query("W7_rate", "with c as (select id, operation, ts, (id * 13) % 997 as v, lag((id * 13) % 997) over (partition by operation order by ts, id) as p from log), s as (select operation, ts, case when p is null then 0 when v >= p then v - p else v end as step from c) select operation, cast(floor(floor(epoch(ts)) / 86400) * 86400 as bigint) as window_start, round(sum(step) / 86400.0, 9) as per_second from s group by 1, 2")
 def w7(s, d):
     x = B.log(s, d).withColumn("counter", c("id") * 13 % 997).withColumn("ts", c("ts").cast("timestamp"))
-    return R.rates(x, ["operation"], 86400).select("operation", "window_start", F.round("per_second", 9).alias("per_second"))
+    return W.rates(x, ["operation"], 86400).select("operation", "window_start", F.round("per_second", 9).alias("per_second"))
 
 
 @query("O3_max_free_group", "select group_name, server_id, free_mb from servers where writable order by free_mb desc, server_id limit 1")
@@ -644,9 +643,8 @@ def o8(s, d):
 
 @query("O9_sorted_servers", "select row_number() over (order by group_name, server_id) as pos, group_name, server_id from servers")
 def o9(s, d):
-    from pyspark.sql import Window
-
-    return B.servers(s, d).select(F.row_number().over(Window.orderBy("group_name", "server_id")).cast("long").alias("pos"), "group_name", "server_id")
+    found = W.positions(B.servers(s, d).select("group_name", "server_id"), ["server_id"], [c("group_name"), F.floor(c("server_id") / 10_000)])
+    return found.select("pos", "group_name", "server_id")
 
 
 @query("O10_sorted_metadata", "select file_id, 'ext=' || ext || ';group=' || group_name || ';lang=' || lang as metadata from files")
@@ -794,9 +792,16 @@ def x18(s, d):
     return B.files(s, d).select("file_id", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("back"))
 
 
-@query("X13_X12_X29_hashes")
+#: crc32 over the bytes of a text, and the PJW hash over the characters of a name, as DuckDB folds.
+_CRC_TABLE = "tab as materialized (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t)"
+_CRC = """xor(list_reduce(list_transform(range(octet_length(encode({0}))), lambda i: (position(substring(hex(encode({0})), 2 * i + 1, 1) in '0123456789ABCDEF') - 1) * 16 + position(substring(hex(encode({0})), 2 * i + 2, 1) in '0123456789ABCDEF') - 1),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+_PJW = """list_reduce(list_transform(range(length({0})), lambda i: unicode(substring({0}, i + 1, 1))),
+  lambda h, x: case when (((h << 4) + x) & 4026531840) <> 0 then xor(((h << 4) + x) & 268435455, (((h << 4) + x) & 4026531840) >> 24) & 268435455 else (((h << 4) + x) & 4294967295) end, 0)"""
+
+
+@query("X13_X12_X29_hashes", f"with {_CRC_TABLE}, n as (select doc_id, text, 'M00/00/00/abcdefghijklmnopqrs' || doc_id as stem from documents), h as (select doc_id, text, stem, cast({_PJW.format("(stem || '.jpg')")} as bigint) % 65536 as h from n) select doc_id, cast(case when text = '' then 0 else {_CRC.format('text')} end as bigint) as crc32, cast(h >> 8 as int) as high, cast(h & 255 as int) as low, stem || '_150.jpg' as slave from h, tab")
 def x13(s, d):
-    """No SQL: DuckDB has neither crc32 nor the path hash."""
     docs = s.read.parquet(f"{d}/documents.parquet")
     name = F.concat(F.lit("M00/00/00/abcdefghijklmnopqrs"), "doc_id", F.lit(".jpg"))
     return docs.select("doc_id", F.crc32(c("text").cast("binary")).alias("crc32"), S.path_hash(name).alias("at"), S.slave_name(name, F.lit("_150"), F.lit(None).cast("string")).alias("slave")).select("doc_id", "crc32", "at.*", "slave")
@@ -811,3 +816,53 @@ def x2(s, d):
 @query("B_dashboard", "select cast(sum(total_mb) as bigint) as total_mb, round(sum(free_mb) * 100.0 / sum(total_mb), 6) as free_pct, count(*) as n_servers, max(1706745600 - heartbeat) as heartbeat_delay from servers")
 def dashboard(s, d):
     return B.servers(s, d).agg(F.sum("total_mb").alias("total_mb"), F.round(S.ratio(F.sum("free_mb") * 100, F.sum("total_mb")), 6).alias("free_pct"), F.count("*").alias("n_servers"), F.max(F.lit(NOW) - c("heartbeat")).alias("heartbeat_delay"))
+
+
+@query("X2_format_bytes_text", "select file_id, case when n >= 1099511627776 then printf('%.2f TB', n / 1099511627776.0) when n >= 1073741824 then printf('%.2f GB', n / 1073741824.0) when n >= 1048576 then printf('%.2f MB', n / 1048576.0) when n >= 1024 then printf('%.2f KB', n / 1024.0) else n || ' B' end as shown from (select file_id, case file_id % 5 when 0 then file_id when 1 then size when 2 then size * 1024 + 512 when 3 then size * 1048576 else size * 1073741824 end as n from files)")
+def x2t(s, d):
+    """The text itself, in all units."""
+    k = c("file_id") % 5
+    n = S.chain((k == 0, c("file_id")), (k == 1, c("size")), (k == 2, c("size") * 1024 + 512), (k == 3, c("size") * (1 << 20)), otherwise=c("size") * (1 << 30))
+    return B.files(s, d).select("file_id", S.format_bytes(n).alias("shown"))
+
+
+@query("X6_X7_X25_extensions", "with n as (select file_id, case file_id % 4 when 0 then path when 1 then path || '.tar.Gz' when 2 then replace(path, '.', '_') else path || '.averylongone' end as p from files) select file_id, case when contains(p, '.') then split_part(p, '.', -1) else 'no_ext' end as whole, case when contains(p, '.') then left(split_part(p, '.', -1), 6) else '' end as short, case when contains(right(p, 6), '.') then split_part(p, '.', -1) end as near from n")
+def x6(s, d):
+    k = c("file_id") % 4
+    p = S.chain((k == 0, c("path")), (k == 1, F.concat("path", F.lit(".tar.Gz"))), (k == 2, F.replace("path", F.lit("."), F.lit("_"))), otherwise=F.concat("path", F.lit(".averylongone")))
+    return B.files(s, d).withColumn("p", p).select("file_id", S.extension_of_id(c("p")).alias("whole"), S.extension_short(c("p")).alias("short"), S.extension_near_end(c("p")).alias("near"))
+
+
+@query("U5_U6_trunk_files", "with u as (select l_suppkey % 40 as path, l_partkey % 60 as id, l_orderkey * 10 + l_linenumber as line_no from lineitem), f as (select path, id, min(line_no) as line_no from u where line_no % 3 = 0 group by 1, 2) select path, id, line_no, 'first' as source from f union all select path, id, line_no, 'appended' from u where line_no % 3 = 1")
+def u5f(s, d):
+    """The first record of each (path, id) of one log, then all of another appended."""
+    x = s.read.parquet(f"{d}/lineitem.parquet").select((c("l_suppkey") % 40).alias("path"), (c("l_partkey") % 60).alias("id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("line_no"))
+    return R.rebuilt_log(x.where("line_no % 3 = 0"), x.where("line_no % 3 = 1"), ["path", "id"])
+
+
+@query("L1_live_blocks_by_offset", "with r as (select filename % 50 as path, line_no % 40 as id, (line_no % 5) * 64 as \"offset\", ts, line_no, case when op = 'D' then 'D' else 'A' end as op, row_number() over (partition by filename % 50, line_no % 40, line_no % 5 order by ts desc, line_no desc) as k from changes) select path, id, \"offset\", line_no % 7 as size from r where k = 1 and op = 'A'")
+def l1o(s, d):
+    return R.live_blocks(_space_log(s, d), ["path", "id", "offset"])
+
+
+def _space_log(s, d):
+    x = B.changes(s, d)
+    return x.select((c("filename") % 50).alias("path"), (c("line_no") % 40).alias("id"), (c("line_no") % 5 * 64).alias("offset"), "ts", "line_no", F.when(c("op") == "D", "D").otherwise("A").alias("op"), (c("line_no") % 7).alias("size"))
+
+
+_RENAMES = "n as (select filename, ts, line_no, case when line_no % 11 = 0 then 'R' else op end as op, case when line_no % 11 = 0 then filename - 1 end as src from changes), "
+
+
+@query("L3_live_files_renamed", f"with {_RENAMES} e as (select filename, ts, line_no, case when upper(op) = 'D' then 'D' else 'C' end as op from n union all select src, ts, line_no, 'D' from n where op = 'R') select filename, max(ts) as last_ts from e group by 1 having arg_max(op, struct_pack(a := ts, b := line_no)) = 'C'")
+def l3r(s, d):
+    """Renames among the changes end the old names' lives."""
+    x = B.changes(s, d)
+    renamed = c("line_no") % 11 == 0
+    return R.live_files(x.select("filename", "ts", "line_no", F.when(renamed, "R").otherwise(c("op")).alias("op"), F.when(renamed, c("filename") - 1).alias("src")))
+
+
+@query("L6_membership_changes", "with m as (select ts, line_no, 'group' || (filename % 4) as group_name, filename % 97 as server_id, cast(5 + line_no % 3 as int) as status from changes), k as (select *, lag(status) over (partition by group_name, server_id order by ts, line_no) as before from m) select ts, line_no, group_name, server_id, before, status from k where before is distinct from status and ts >= 4000")
+def l6c(s, d):
+    """From a time on, the entries of a membership log that change a server's status."""
+    x = B.changes(s, d).select("ts", "line_no", F.concat(F.lit("group"), c("filename") % 4).alias("group_name"), (c("filename") % 97).alias("server_id"), (c("line_no") % 3 + 5).cast("int").alias("status"))
+    return R.status_changes(x, ["group_name", "server_id"]).where("ts >= 4000")

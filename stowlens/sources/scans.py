@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowlens.functions.scalars import decode_trunk, key_value
 
-__all__ = ["access_log", "benchmark_json", "byte_range", "change_log", "cluster_file", "config_file", "decode_trunk", "directory", "file_list", "manifest", "membership_log", "quota_rules", "server_log", "space_log", "stat_files", "sync_matrix"]
+__all__ = ["access_log", "benchmark_json", "byte_range", "change_log", "cluster_file", "config_file", "decode_trunk", "directory", "file_list", "manifest", "membership_log", "quota_rules", "sections", "server_log", "space_log", "stat_files", "sync_matrix"]
 
 c = F.col
 
@@ -128,3 +128,15 @@ def stat_files(spark: SparkSession, pattern: str) -> DataFrame:
 def byte_range(content: Column, offset: int, length: int) -> Column:
     """Bytes from an offset; length 0 means to the end."""
     return F.substring(content, offset + 1, length or (1 << 31) - 1)
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """section and a map of its 'key=value' lines, for sections with an empty line after each."""
+    raw = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
+    pairs = F.filter(F.transform(F.split("value", "\n"), key_value), lambda p: p.isNotNull())
+    return raw.select(F.regexp_extract("value", r"\[([^\]]*)\]", 1).alias("section"), F.map_from_entries(pairs).alias("entries"))
+
+
+def recovery_parts(log: DataFrame, parts: int) -> DataFrame:
+    """A change log dealt out to recovery workers: records of one source name, or of one name without source, have one `worker`."""
+    return log.withColumn("worker", F.pmod(F.crc32(F.coalesce("src", "filename").cast("binary")), F.lit(parts)).cast("int"))

@@ -46,3 +46,9 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
 def write_sync_matrix(ts: DataFrame, servers: list[str], path: str) -> None:
     """(group_name, src_id, dest_id, ts) as one line for each source with a column for each destination."""
     ts.groupBy("group_name", "src_id").pivot("dest_id", servers).agg(F.first("ts")).na.fill(0).write.mode("overwrite").csv(path)
+
+
+def write_sections(df: DataFrame, section: Column, path: str) -> None:
+    """Each row as a section of 'key=value' lines, an empty line after it; null values are left out."""
+    lines = [F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "="), F.col(k).cast("string"))) for k in df.columns]
+    df.select(F.concat(F.concat_ws("\n", F.concat(F.lit("["), section, F.lit("]")), *lines), F.lit("\n"))).write.mode("overwrite").text(path)

@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from stowlens.plans import catalog
+from stowlens.plans import catalog, file_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()

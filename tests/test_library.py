@@ -24,18 +24,19 @@ def test_sizes(spark):
 
 def test_names(spark):
     v = F.col("v")
-    names = ["test.jpg", "file.tar.gz", "noext", "file.verylongext", ".hidden"]
-    assert values(spark, names, S.extension_short(v)) == ["jpg", "gz", "", "verylo", "hidden"]
-    assert values(spark, ["g/a.JPG", "g.x/a"], S.extension_of_name(v)) == ["jpg", "no_ext"]
-    assert values(spark, ["g/a.JPG", "g.x/a"], S.extension_of_id(v)) == ["JPG", "x/a"]
-    ids = ["group1/M00/00/00/test.jpg", "", "group1", "/M00/00/00/test.jpg", "group1/", "a_group_name_that_is_too_long/M00/a"]
-    assert [x is not None for x in values(spark, ids, S.split_id(v))] == [True, False, False, False, False, False]
+    names = ["clip.webm", "a.b.log", "Makefile", "x.properties", ".env", "", "end.", "ноты.аудиофайл", "v1.2/readme"]
+    assert values(spark, names, S.extension_short(v)) == ["webm", "log", "", "proper", "env", "", "", "аудиоф", "2/read"]
+    assert values(spark, ["g/pic.PNG", "g.x/a", "g/.env", "g/end."], S.extension_of_name(v)) == ["png", "no_ext", "env", "no_ext"]
+    assert values(spark, ["g/pic.PNG", "g.x/a"], S.extension_of_id(v)) == ["PNG", "x/a"]
+    assert values(spark, ["abc.12345", "abc.123456", "none", "x."], S.extension_near_end(v)) == ["12345", None, None, ""]
+    ids = ["g7/M01/0A/FF/clip.webm", "", "g7", "/M01/clip.webm", "g7/", "seventeen_letters/M01/a", "sixteen_letters_/M01/a"]
+    assert [x is not None for x in values(spark, ids, S.split_id(v))] == [True, False, False, False, False, False, True]
     assert values(spark, ["ab1.txt", "b1.txt"], S.glob(v, "a?[0-9].t*")) == [True, False]
 
 
 def test_metadata_keeps_the_last_of_equal_names(spark):
-    packed = "author\x02John Doe\x01version\x021.0\x01author\x02Jane"
-    assert values(spark, [packed], S.unpack_metadata(F.col("v"))) == [{"author": "Jane", "version": "1.0"}]
+    packed = "codec\x02opus\x01rate\x0248000\x01codec\x02vorbis\x01\x02no name\x01lone"
+    assert values(spark, [packed, ""], S.unpack_metadata(F.col("v"))) == [{"codec": "vorbis", "rate": "48000"}, {}]
 
 
 def test_path_hash(spark):
@@ -63,8 +64,8 @@ def test_no_criteria_match_nothing(spark):
 
 
 def test_scans(spark, tmp_path):
-    (tmp_path / "list").write_text("#c\n\ngroup1/M00/a.jpg\r\n")
-    assert [r.file_id for r in scans.file_list(spark, str(tmp_path / "list")).collect()] == ["group1/M00/a.jpg"]
+    (tmp_path / "list").write_text("#c\n\ng7/M01/a.webm\r\n")
+    assert [r.file_id for r in scans.file_list(spark, str(tmp_path / "list")).collect()] == ["g7/M01/a.webm"]
     (tmp_path / "log").write_text("1700000000 C M00/a\nbad\n1700000001 L M00/b M00/a\n")
     assert [(r.op, r.src) for r in scans.change_log(spark, str(tmp_path / "log")).orderBy("line_no").collect()] == [("C", None), ("L", "M00/a")]
     (tmp_path / "space").write_text("1700000000 A 0 0 1 7 0 256\n1 A 2\n")

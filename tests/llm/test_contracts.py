@@ -343,6 +343,18 @@ def test_op10_crossover_keeps_every_piece_once():
     assert len(best[1]) <= min(len(p[1]) for p in people)
 
 
+def test_op9_memo_of_any_size_and_tails():
+    """The memo's last piece with a tail, pieces that leave the memo and come back, ids as the tokenizer's."""
+    t = Tokenizer.from_file(tokens.vocabulary_file())
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeèß1") for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", ".", ",", "..", ",.", "\u00a0x.", "!"]) for _ in range(400)]
+    for memo in (1, 30, 10**6):
+        encoder = tokens.Encoder(tokens.vocabulary_file(), memo=memo)
+        for _ in range(8):
+            texts = [rng.choice(["", " ", "\n", "\t"]) + rng.choice([" ", "\n", " \n", "  "]).join(rng.choices(words, k=rng.randrange(0, 12))) for _ in range(60)] + [rng.choice(words)]
+            assert [np.frombuffer(g, "<u2").tolist() for g in encoder.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op9_access_reads_a_few_blocks():
     """One token of a large shard costs the directory and a block of each level, not the file."""
     ids = np.random.default_rng(1).integers(0, 50257, 1 << 20).astype("<u2")

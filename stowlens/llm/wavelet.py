@@ -52,10 +52,10 @@ def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     for level in range(BITS):
         bit = (a & np.uint16(1 << (BITS - 1 - level))) != 0
         planes.append(np.packbits(bit, bitorder="little"))
-        ones = a[bit]
+        ones = np.flatnonzero(bit)  # taking rows by number is several times as fast as by a mask
         zeros.append(len(a) - len(ones))
         if level < BITS - 1:
-            a = np.concatenate([a[~bit], ones])
+            a = np.concatenate([a[np.flatnonzero(~bit)], a[ones]])
     return planes, zeros
 
 
@@ -202,8 +202,8 @@ class Shard:
             bit = np.unpackbits(plane.view(np.uint8), count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             up = np.empty(self.n, np.uint16)
-            up[bit] = a[z:] | np.uint16(1 << (BITS - 1 - level))
-            up[~bit] = a[:z]
+            up[np.flatnonzero(bit)] = a[z:] | np.uint16(1 << (BITS - 1 - level))
+            up[np.flatnonzero(~bit)] = a[:z]
             a = up
         return a
 

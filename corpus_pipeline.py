@@ -1,7 +1,9 @@
 """A training corpus from `documents`: filter, dedup, hide personal data, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents. Further columns pass
+through them whatever their names are. Null and empty texts stay in all stages: the quality classifier sees
+no defect in them, they are nobody's copies, hold no entities, and are packed as one end id.
 """
 
 from __future__ import annotations
@@ -14,30 +16,37 @@ from stowlens.llm import mixing, near_dup, packing, pii, quality_model, tokens
 from stowlens.llm.common import table, written
 from stowlens.llm.queries import PII_KEY, domains
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Toxic text's share of the tokens; the other domains keep their proportions.
 WEIGHTS = {"toxic": 0.02}
 
 
+def _apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs) with the columns of docs, of which those that aren't of documents are renamed meanwhile."""
+    names = [c if c in COLUMNS else f"further_{i}" for i, c in enumerate(docs.columns)]
+    return stage(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     model = quality_model.fit(docs.select("doc_id", "text"))
-    return quality_model.classify(docs, model).where("quality_kept").select(*docs.columns)
+    return _apart(docs, lambda d: quality_model.classify(d, model).where("quality_kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    return near_dup.one_of_each(docs).select(*docs.columns)
+    return _apart(docs, near_dup.one_of_each)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates."""
-    return pii.replace_entities(docs, PII_KEY).select(*docs.columns)
+    return _apart(docs, lambda d: pii.replace_entities(d, PII_KEY))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as its rate says."""
-    rated, _ = mixing.mix(docs, domains(table(spark, sf_dir, "labels")), WEIGHTS)
-    return mixing.copies(rated).select(*docs.columns)
+    labels = domains(table(spark, sf_dir, "labels"))
+    return _apart(docs, lambda d: mixing.copies(mixing.mix(d, labels, WEIGHTS)[0]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,22 +40,27 @@ END_ID = 0
 #: Tokens after which a shard is closed; the document that crosses the mark stays whole.
 SHARD_TOKENS = 1 << 23
 BLOCK_BITS = 1 << 15
+#: Ids that are parted at once.
+PIECE = 1 << 16
 #: Blocks of a level that a reader keeps unpacked; those of a whole shard by default, 34 MB.
 CACHED = SHARD_TOKENS // BLOCK_BITS
 _HEAD = "<4s6IQ"
 
 
 def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-    """Packed bit-planes and each level's zeros."""
+    """Packed bit-planes and each level's zeros. A level is parted piece by piece, so that the work stays in the processor's cache."""
     planes, zeros = [], []
     a = ids.astype(np.uint16)
     for level in range(BITS):
-        bit = (a & np.uint16(1 << (BITS - 1 - level))) != 0
+        bit, low, high = np.zeros(len(a), bool), [a[:0]], [a[:0]]
+        for at in range(0, len(a), PIECE):
+            piece = a[at : at + PIECE]
+            one = np.not_equal(piece & np.uint16(1 << (BITS - 1 - level)), 0, out=bit[at : at + PIECE])
+            low.append(piece[np.flatnonzero(~one)])
+            high.append(piece[np.flatnonzero(one)])
         planes.append(np.packbits(bit, bitorder="little"))
-        ones = np.flatnonzero(bit)  # taking rows by number is several times as fast as by a mask
-        zeros.append(len(a) - len(ones))
-        if level < BITS - 1:
-            a = np.concatenate([a[np.flatnonzero(~bit)], a[ones]])
+        zeros.append(sum(map(len, low)))
+        a = np.concatenate(low + high)
     return planes, zeros
 
 
@@ -200,10 +205,15 @@ class Shard:
             words = [self._block(level, b)[0][:-1] for b in range(self.ones_before.shape[1] - 1)]
             plane = np.concatenate([np.zeros(0, "<u8"), *words])
             bit = np.unpackbits(plane.view(np.uint8), count=self.n, bitorder="little").view(bool)
-            z = self.zeros[level]
-            up = np.empty(self.n, np.uint16)
-            up[np.flatnonzero(bit)] = a[z:] | np.uint16(1 << (BITS - 1 - level))
-            up[np.flatnonzero(~bit)] = a[:z]
+            up, one = np.empty(self.n, np.uint16), np.uint16(1 << (BITS - 1 - level))
+            low, high = 0, self.zeros[level]
+            for at in range(0, self.n, PIECE):
+                here = bit[at : at + PIECE]
+                ones, zeros = np.flatnonzero(here), np.flatnonzero(~here)
+                piece = up[at : at + PIECE]
+                piece[ones] = a[high : high + len(ones)] | one
+                piece[zeros] = a[low : low + len(zeros)]
+                low, high = low + len(zeros), high + len(ones)
             a = up
         return a
 

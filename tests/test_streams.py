@@ -18,7 +18,7 @@ def test_windowed_counts_drop_what_is_too_late(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     base = 1_700_000_040  # on a minute
-    (folder / "1").write_text("".join(f"{base + k} {'CD'[k % 2]} f{k}\n" for k in range(0, 120, 10)))
+    (folder / "1").write_text("".join(f"{base + k} {'CD'[k // 10 % 2]} f{k}\n" for k in range(0, 120, 10)))
     q = run(streams.windowed_counts(streams.change_log_stream(spark, str(folder), 1)), "counts", tmp_path / "ck")
     for name, text in (("2", f"{base + 3600} C far\n"), ("3", f"{base + 1} C late\n{base + 3601} C far\n"), ("4", f"{base + 7200} C end\n")):
         (folder / name).write_text(text)

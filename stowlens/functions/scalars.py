@@ -34,9 +34,9 @@ def parse_size(text: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """'512 B', '1.50 KB': two decimals from 1 KB on."""
+    """'512 B', '1.50 KB': two decimals from 1 KB on, ties to the even one as printf has them."""
     def shown(unit: str) -> Column:
-        return F.format_string("%.2f " + unit, size / F.lit(float(UNITS[unit])))
+        return F.format_string("%.2f " + unit, F.bround(size / F.lit(float(UNITS[unit])), 2))
 
     return chain((size >= UNITS["TB"], shown("TB")), (size >= UNITS["GB"], shown("GB")), (size >= UNITS["MB"], shown("MB")), (size >= UNITS["KB"], shown("KB")), otherwise=F.format_string("%d B", size))
 

@@ -8,14 +8,14 @@ from stowlens.llm import audio, html_text, mixing, near_dup, packing, pii, quali
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns named like results of the operators.
 CLASHES = ["kept", "p", "rate", "n_tokens", "score", "weak_label", "n_replaced", "n_words", "component_id", "key", "id", "uid", "part", "start", "piece", "length", "media", "mix_features", "n", "c"]
-LONG = "The long text goes on and says the same things in other words each time. " * 6000
+LONG = "The long text goes on and says the same things in other words each time. " * 9000
 WEIGHTS = {"low": 0.1}
 
 
 def rows():
     texts = [None, "", " \n ", "one", "one two", "one two three four", "one two three four", "Dr. Mr Anton Berger wrote to a.b@example.com, a.b@example.com", LONG, "ünïcödé 漢字 \U0001f600 текст"]
     out = [(i, t, None if i % 2 else "en", None, None) for i, t in enumerate(texts)]
-    return [*out, out[3], (None, "no id", "en", "web", 5), (None, None, None, None, None)]
+    return [*out, out[3], (4, "another text under an id that is taken", "en", "web", 5), (None, "no id", "en", "web", 5), (None, None, None, None, None)]
 
 
 def labels(spark):
@@ -74,3 +74,26 @@ def test_pages(spark):
     out = html_text.extract(df, html_text.fit_table(df)).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in out) == [("1", "", 0), ("2", "", 0), ("3", "no end", 6), ("3", "no end", 6), ("None", "plain & simple", 14)]
     assert html_text.extract(df.limit(0), html_text.fit_table(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["toxicity", "mixing"])
+def test_no_labels_at_all(spark, name):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    if name == "toxicity":
+        out = toxicity.classify(table(spark), toxicity.fit(table(spark), none)).collect()
+        assert {r.score for r in out} == {out[0].score} and out[0].predicted == 0
+    else:
+        mixed, model = mixing.mix(table(spark), none.select("doc_id", F.lit("x").alias("domain")), WEIGHTS)
+        assert model["domains"] == ["all"] and {r.rate for r in mixed.collect()} == {1.0}
+    assert len(rows()) == table(spark).count()
+
+
+@pytest.mark.parametrize("name", ["quality_model", "toxicity", "mixing", "quality_rules", "wavelet", "packing", "audio"])
+def test_partitions_change_nothing(spark, name):
+    """The same rows dealt out in another way give the same values; ties are settled by the rows themselves."""
+    drop = {"sequence_id", "offset"} if name == "packing" else {"rejected_by"}
+
+    def values(df):
+        return sorted(str({k: v for k, v in r.asDict().items() if k not in drop}) for r in OPERATORS[name](spark, df).collect())
+
+    assert values(table(spark).repartition(1)) == values(table(spark).repartition(5))

@@ -7,7 +7,7 @@ collected, and a side is broadcast only by Spark's own size check.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -189,21 +189,28 @@ def replicas_checked(replicas: DataFrame) -> DataFrame:
     return out.select("file_id", consistency(F.col("missing"), differs("crc"), differs("size")).alias("status"), F.when(F.col("ts_lo").isNotNull(), lag).alias("lag"))
 
 
+def last_entries(log: DataFrame, key: list[str], stored: Sequence[str] = ()) -> DataFrame:
+    """Each key's last entry by (ts, line_no); of equal ones the one that sorts first by the columns `stored`."""
+    w = Window.partitionBy(*key).orderBy(F.desc("ts"), F.desc("line_no"), *stored)
+    return log.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")
+
+
 def live_blocks(log: DataFrame, key: list[str]) -> DataFrame:
     """Blocks whose last operation in the log (ts, line_no, op A or D) adds them."""
     last = log.groupBy(*key).agg(F.max_by(F.struct("op", "size"), F.struct("ts", "line_no")).alias("x"))
     return last.where("x.op = 'A'").select(*key, "x.size")
 
 
-def live_files(log: DataFrame) -> DataFrame:
+def live_files(log: DataFrame, stored: Sequence[str] = ()) -> DataFrame:
     """Files that a change log leaves: the last create or delete of each name decides, and a rename ends the old name's life.
 
-    A source operation is in capitals, a replica's in small letters; both change the set of files alike.
+    A source operation is in capitals, a replica's in small letters; both change the set of files alike. `stored`
+    are columns that tell entries of one (ts, line_no) apart.
     """
-    made = log.select("filename", "ts", "line_no", F.when(F.upper("op") == "D", "D").otherwise("C").alias("op"))
-    gone = log.where((F.upper("op") == "R") & F.col("src").isNotNull()).select(F.col("src").alias("filename"), "ts", "line_no", F.lit("D").alias("op"))
-    last = made.unionByName(gone).groupBy("filename").agg(F.max_by("op", F.struct("ts", "line_no")).alias("op"), F.max("ts").alias("last_ts"))
-    return last.where("op = 'C'").select("filename", "last_ts")
+    made = log.select("filename", "ts", "line_no", *stored, F.when(F.upper("op") == "D", "D").otherwise("C").alias("op"), F.lit(0).alias("renamed_"))
+    gone = log.where((F.upper("op") == "R") & F.col("src").isNotNull()).select(F.col("src").alias("filename"), "ts", "line_no", *stored, F.lit("D").alias("op"), F.lit(1).alias("renamed_"))
+    last = last_entries(made.unionByName(gone), ["filename"], ["renamed_", *stored])
+    return last.where("op = 'C'").select("filename", F.col("ts").alias("last_ts"))
 
 
 def replay_warnings(log: DataFrame, key: list[str]) -> DataFrame:

@@ -51,10 +51,11 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
+    """The change log; `place` is where an entry is stored, since several may have one (ts, line_no)."""
     op = F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "N", "c").otherwise("D")
     line = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_partkey") % 10
     return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("filename"), F.datediff(F.col("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long").alias("ts"), line.alias("line_no"), op.alias("op"),
-                                           F.when(F.col("l_linenumber") == 7, F.col("l_orderkey") - 1).alias("src"))
+                                           F.when(F.col("l_linenumber") == 7, F.col("l_orderkey") - 1).alias("src"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:

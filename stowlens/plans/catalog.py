@@ -666,7 +666,7 @@ def l1w(s, d):
 
 @query("L3_live_files", "with e as (select filename, ts, line_no, case when op = 'D' then 'D' else 'C' end as op from changes union all select src, ts, line_no, 'D' from changes where src is not null and upper(op) = 'R') select filename, max(ts) as last_ts from e group by 1 having arg_max(op, struct_pack(a := ts, b := line_no)) = 'C'")
 def l3(s, d):
-    return R.live_files(B.changes(s, d))
+    return R.live_files(B.changes(s, d), ["place"])
 
 
 @query("L6_membership_log", "select server_id, heartbeat, status from servers where heartbeat >= 1706745540 and group_name = 'ASIA'")

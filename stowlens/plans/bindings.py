@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: "Now" of checked queries, as epoch seconds (2024-02-01).
 NOW = 1706745600
 
+#: Columns of changes() in the order in which entries are stored; files in any fixed order, by a number short to sort.
+STORED = ["file", "row"]
+
 #: The same roles as DuckDB SQL, put before each query's SQL.
 VIEWS = {
     "files": "select doc_id as file_id, 'group' || (doc_id % 4) as group_name, 'group' || (doc_id % 4) || '/M00/' || lang || '/' || doc_id || '.' || source as path, n_chars * 997 as size, 1700000000 + doc_id * 37 as create_ts, lang, source as ext, md5(text) as signature from documents",
@@ -51,11 +54,11 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    """The change log; `place` is where an entry is stored, since several may have one (ts, line_no)."""
+    """The change log; the columns STORED tell where an entry is stored, since several may have one (ts, line_no)."""
     op = F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "N", "c").otherwise("D")
     line = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_partkey") % 10
     return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("filename"), F.datediff(F.col("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long").alias("ts"), line.alias("line_no"), op.alias("op"),
-                                           F.when(F.col("l_linenumber") == 7, F.col("l_orderkey") - 1).alias("src"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+                                           F.when(F.col("l_linenumber") == 7, F.col("l_orderkey") - 1).alias("src"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -666,7 +666,7 @@ def l1w(s, d):
 
 @query("L3_live_files", "with e as (select filename, ts, line_no, case when op = 'D' then 'D' else 'C' end as op from changes union all select src, ts, line_no, 'D' from changes where src is not null and upper(op) = 'R') select filename, max(ts) as last_ts from e group by 1 having arg_max(op, struct_pack(a := ts, b := line_no)) = 'C'")
 def l3(s, d):
-    return R.live_files(B.changes(s, d), ["place"])
+    return R.live_files(B.changes(s, d), B.STORED)
 
 
 @query("L6_membership_log", "select server_id, heartbeat, status from servers where heartbeat >= 1706745540 and group_name = 'ASIA'")
@@ -832,7 +832,7 @@ def l3r(s, d):
     """Renames among the changes end the old names' lives."""
     x = B.changes(s, d)
     renamed = c("line_no") % 11 == 0
-    return R.live_files(x.select("filename", "ts", "line_no", F.when(renamed, "R").otherwise(c("op")).alias("op"), F.when(renamed, c("filename") - 1).alias("src")))
+    return R.live_files(x.select("filename", "ts", "line_no", F.when(renamed, "R").otherwise(c("op")).alias("op"), F.when(renamed, c("filename") - 1).alias("src"), *B.STORED), B.STORED)
 
 
 @query("L6_membership_changes", "with m as (select ts, line_no, 'group' || (filename % 4) as group_name, filename % 97 as server_id, cast(5 + line_no % 3 as int) as status from changes), k as (select *, lag(status) over (partition by group_name, server_id order by ts, line_no) as before from m) select ts, line_no, group_name, server_id, before, status from k where before is distinct from status and ts >= 4000")

@@ -36,7 +36,7 @@ def from_spark(spark, name, folder, columns):
     return sorted(map(tuple, catalog.QUERIES[name](spark, folder).select(*columns).collect()))
 
 
-@pytest.mark.parametrize("name", ["L3_live_files"])
+@pytest.mark.parametrize("name", ["L3_live_files", "L3_live_files_renamed"])
 def test_the_first_stored_of_equal_changes_decides(spark, tied, name):
     folder, _ = tied
     columns, want = from_sql(name, folder)

@@ -195,10 +195,9 @@ def last_entries(log: DataFrame, key: list[str], stored: Sequence[str] = ()) ->
     return log.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")
 
 
-def live_blocks(log: DataFrame, key: list[str]) -> DataFrame:
-    """Blocks whose last operation in the log (ts, line_no, op A or D) adds them."""
-    last = log.groupBy(*key).agg(F.max_by(F.struct("op", "size"), F.struct("ts", "line_no")).alias("x"))
-    return last.where("x.op = 'A'").select(*key, "x.size")
+def live_blocks(log: DataFrame, key: list[str], stored: Sequence[str] = ()) -> DataFrame:
+    """Blocks whose last operation in the log (ts, line_no, op A or D) adds them; `stored` as for last_entries()."""
+    return last_entries(log, key, stored).where("op = 'A'").select(*key, "size")
 
 
 def live_files(log: DataFrame, stored: Sequence[str] = ()) -> DataFrame:
@@ -213,9 +212,12 @@ def live_files(log: DataFrame, stored: Sequence[str] = ()) -> DataFrame:
     return last.where("op = 'C'").select("filename", F.col("ts").alias("last_ts"))
 
 
-def replay_warnings(log: DataFrame, key: list[str]) -> DataFrame:
-    """Additions of a block that is there and deletions of one that isn't: an operation equal to the one before, or a first deletion."""
-    w = Window.partitionBy(*key).orderBy("ts", "line_no")
+def replay_warnings(log: DataFrame, key: list[str], stored: Sequence[str] = ()) -> DataFrame:
+    """Additions of a block that is there and deletions of one that isn't: an operation equal to the one before, or a first deletion.
+
+    The replay ends with what last_entries() takes for the last, so of equal entries the one first by `stored` comes last.
+    """
+    w = Window.partitionBy(*key).orderBy("ts", "line_no", *map(F.desc, stored))
     before = F.lag("op").over(w)
     kind = chain(((F.col("op") == "A") & (before == "A"), "duplicate_add"), ((F.col("op") == "D") & (before.isNull() | (before == "D")), "missing_delete"))
     return log.withColumn("warning", kind).where("warning is not null")

@@ -654,14 +654,14 @@ def u7(s, d):
 
 @query("L1_live_blocks", "with r as (select filename % 50 as path, line_no % 40 as id, ts, line_no, case when op = 'D' then 'D' else 'A' end as op, row_number() over (partition by filename % 50, line_no % 40 order by ts desc, line_no desc) as k from changes) select path, id, line_no % 7 as size from r where k = 1 and op = 'A'")
 def l1(s, d):
-    x = B.changes(s, d).select((c("filename") % 50).alias("path"), (c("line_no") % 40).alias("id"), "ts", "line_no", F.when(c("op") == "D", "D").otherwise("A").alias("op"), (c("line_no") % 7).alias("size"))
-    return R.live_blocks(x, ["path", "id"])
+    x = B.changes(s, d).select((c("filename") % 50).alias("path"), (c("line_no") % 40).alias("id"), "ts", "line_no", F.when(c("op") == "D", "D").otherwise("A").alias("op"), (c("line_no") % 7).alias("size"), *B.STORED)
+    return R.live_blocks(x, ["path", "id"], B.STORED)
 
 
 @query("L1_replay_warnings", "with r as (select filename % 500 as id, ts, line_no, case when op = 'D' then 'D' else 'A' end as op from changes), w as (select *, lag(op) over (partition by id order by ts, line_no) as p from r) select id, line_no, case when op = 'A' then 'duplicate_add' else 'missing_delete' end as warning from w where (op = 'A' and p = 'A') or (op = 'D' and (p is null or p = 'D'))")
 def l1w(s, d):
-    x = B.changes(s, d).select((c("filename") % 500).alias("id"), "ts", "line_no", F.when(c("op") == "D", "D").otherwise("A").alias("op"))
-    return R.replay_warnings(x, ["id"]).select("id", "line_no", "warning")
+    x = B.changes(s, d).select((c("filename") % 500).alias("id"), "ts", "line_no", F.when(c("op") == "D", "D").otherwise("A").alias("op"), *B.STORED)
+    return R.replay_warnings(x, ["id"], B.STORED).select("id", "line_no", "warning")
 
 
 @query("L3_live_files", "with e as (select filename, ts, line_no, case when op = 'D' then 'D' else 'C' end as op from changes union all select src, ts, line_no, 'D' from changes where src is not null and upper(op) = 'R') select filename, max(ts) as last_ts from e group by 1 having arg_max(op, struct_pack(a := ts, b := line_no)) = 'C'")
@@ -816,12 +816,12 @@ def u5f(s, d):
 
 @query("L1_live_blocks_by_offset", "with r as (select filename % 50 as path, line_no % 40 as id, (line_no % 5) * 64 as \"offset\", ts, line_no, case when op = 'D' then 'D' else 'A' end as op, row_number() over (partition by filename % 50, line_no % 40, line_no % 5 order by ts desc, line_no desc) as k from changes) select path, id, \"offset\", line_no % 7 as size from r where k = 1 and op = 'A'")
 def l1o(s, d):
-    return R.live_blocks(_space_log(s, d), ["path", "id", "offset"])
+    return R.live_blocks(_space_log(s, d), ["path", "id", "offset"], B.STORED)
 
 
 def _space_log(s, d):
     x = B.changes(s, d)
-    return x.select((c("filename") % 50).alias("path"), (c("line_no") % 40).alias("id"), (c("line_no") % 5 * 64).alias("offset"), "ts", "line_no", F.when(c("op") == "D", "D").otherwise("A").alias("op"), (c("line_no") % 7).alias("size"))
+    return x.select((c("filename") % 50).alias("path"), (c("line_no") % 40).alias("id"), (c("line_no") % 5 * 64).alias("offset"), "ts", "line_no", F.when(c("op") == "D", "D").otherwise("A").alias("op"), (c("line_no") % 7).alias("size"), *B.STORED)
 
 
 _RENAMES = "n as (select filename, ts, line_no, case when line_no % 11 = 0 then 'R' else op end as op, case when line_no % 11 = 0 then filename - 1 end as src from changes), "

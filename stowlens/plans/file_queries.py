@@ -195,7 +195,7 @@ def l2(s, d):
     """A log rewritten to what its replay leaves, by a swap that can be undone."""
     at = folder(s)
     versions.create(_space_log(s, d), at)
-    versions.compact(s, at, lambda log: R.live_blocks(log, ["path", "id", "offset"]).withColumn("op", F.lit("A")))
+    versions.compact(s, at, lambda log: R.live_blocks(log, ["path", "id", "offset"], B.STORED).withColumn("op", F.lit("A")))
     return versions.current(s, at).select("path", "id", "offset", "size", "op")
 
 

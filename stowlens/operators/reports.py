@@ -122,12 +122,19 @@ def slope(history: DataFrame, day: str, used: str, by: list[str]) -> DataFrame:
 
 
 def merged_blocks(blocks: DataFrame, key: list[str], whole: int = 0) -> DataFrame:
-    """Free blocks (key, offset, size) merged where one ends where the next begins; a merged block that fills a whole file may be dropped."""
-    w = Window.partitionBy(*key).orderBy("offset", "size")
-    island = F.sum(F.when(F.lag(F.col("offset") + F.col("size")).over(w) == F.col("offset"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = blocks.withColumn("island", island).groupBy(*key, "island").agg(F.min("offset").alias("offset"), F.max(F.col("offset") + F.col("size")).alias("end"), F.count("*").alias("n_blocks"))
-    out = out.select(*key, "offset", (F.col("end") - F.col("offset")).alias("size"), "n_blocks")
-    return out.where(~((F.col("offset") == 0) & (F.col("size") == whole) & (F.col("n_blocks") > 1))) if whole else out
+    """Free blocks (key, offset, size) merged where one ends where the next begins, a block listed twice counting once; a merged block that fills a whole file may be dropped.
+
+    One sort serves all: of each merged block only its first and last part stay, and the first looks ahead to the last.
+    """
+    c, w = F.col, Window.partitionBy(*key).orderBy("offset", "size")
+    again = (F.row_number().over(w) > 1) & F.lag("offset").over(w).eqNullSafe(c("offset")) & F.lag("size").over(w).eqNullSafe(c("size"))
+    once = blocks.withColumn("again_", again).where("not again_").withColumn("end_", c("offset") + c("size"))
+    parts = once.withColumns({"before_": F.lag("end_").over(w), "next_": F.lead("offset").over(w), "nth_": F.row_number().over(w)})
+    joined = F.coalesce(c("before_") == c("offset"), F.lit(False))
+    parts = parts.withColumns({"first_": ~joined, "last_": ~F.coalesce(c("end_") == c("next_"), F.lit(False)), "reach_": F.greatest("end_", F.when(joined, c("offset")))})
+    ends = parts.where("first_ or last_").withColumns({"reach_": F.when(c("last_"), c("reach_")).otherwise(F.lead("reach_").over(w)), "upto_": F.when(c("last_"), c("nth_")).otherwise(F.lead("nth_").over(w))})
+    out = ends.where("first_").select(*key, "offset", (c("reach_") - c("offset")).alias("size"), (c("upto_") - c("nth_") + 1).cast("long").alias("n_blocks"))
+    return out.where(~((c("offset") == 0) & (c("size") == whole) & (c("n_blocks") > 1))) if whole else out
 
 
 def overlapping_blocks(blocks: DataFrame, key: list[str], order: list[str]) -> DataFrame:

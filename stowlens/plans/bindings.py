@@ -62,4 +62,9 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("id"), (F.col("l_partkey") % 500 * 64).alias("offset"), F.lit(64).cast("long").alias("size")).distinct()
+    return listed_blocks(spark, d).distinct()
+
+
+def listed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks, some of them listed several times."""
+    return _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("id"), (F.col("l_partkey") % 500 * 64).alias("offset"), F.lit(64).cast("long").alias("size"))

@@ -564,7 +564,7 @@ def x24(s, d):
 
 @query("W1_merged_blocks", "with l as (select *, case when lag(\"offset\" + size) over w = \"offset\" then 0 else 1 end as n from blocks window w as (partition by path, id order by \"offset\")), i as (select *, sum(n) over (partition by path, id order by \"offset\") as k from l) select path, id, min(\"offset\") as \"offset\", max(\"offset\" + size) - min(\"offset\") as size, count(*) as n_blocks from i group by path, id, k")
 def w1(s, d):
-    return R.merged_blocks(B.blocks(s, d), ["path", "id"])
+    return R.merged_blocks(B.listed_blocks(s, d), ["path", "id"])
 
 
 @query("W3_retention", "with r as (select o_orderkey as id, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rank, datediff('day', cast(o_orderdate as date), date '2002-01-01') as age from orders) select id, cast(rank as int) as rank, rank > 3 or age > 1500 as \"drop\" from r")

@@ -1,6 +1,7 @@
 """Functions, readers, writers and streams on small fixtures."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -108,3 +109,28 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.filename for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
+def plain_merged(rows):
+    """Runs of blocks where one ends where the one sorted before it began, as islands of a loop."""
+    out = []
+    for k in sorted({r[0] for r in rows}):
+        end = None
+        for _, at, size in sorted({r for r in rows if r[0] == k}):
+            if at == end:
+                out[-1][2], out[-1][3] = max(out[-1][2], at + size), out[-1][3] + 1
+            else:
+                out.append([k, at, at + size, 1])
+            end = at + size
+    return sorted((k, at, end - at, n) for k, at, end, n in out)
+
+
+def test_merged_blocks_against_a_loop(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(6), rng.randrange(60) * 8, rng.choice([0, 8, 8, 8, 16])) for _ in range(900)] + [(9, 64, 64), (8, 0, 0), (8, 0, 0), (10, 5, 1), (10, 6, 1), (10, 6, 1)]
+    df = spark.createDataFrame(rows, "id long, offset long, size long")
+    out = R.merged_blocks(df, ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "HashAggregate" not in plan
+    assert sorted(map(tuple, out.collect())) == plain_merged(rows)
+    assert out.schema["n_blocks"].dataType.simpleString() == "bigint"
